@@ -6,7 +6,10 @@ import importlib
 
 #: name: (module, SQL can express it)
 OPERATORS = {
+    "op2_byte_bpe": ("byte_bpe", False),
+    "op5_rule_ledger": ("rule_ledger", True),
     "op7_source_mixing": ("mixing", True),
+    "op9_token_files": ("token_files", False),
     "op10_url_filter": ("url_filter", True),
 }
 
