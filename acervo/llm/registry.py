@@ -9,6 +9,7 @@ OPERATORS = {
     "op2_byte_bpe": ("byte_bpe", False),
     "op5_rule_ledger": ("rule_ledger", True),
     "op7_source_mixing": ("mixing", True),
+    "op8_simhash": ("simhash", False),
     "op9_token_files": ("token_files", False),
     "op10_url_filter": ("url_filter", True),
 }
