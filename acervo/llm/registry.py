@@ -6,6 +6,7 @@ import importlib
 
 #: name: (module, SQL can express it)
 OPERATORS = {
+    "op1_winnowing": ("winnowing", False),
     "op2_byte_bpe": ("byte_bpe", False),
     "op5_rule_ledger": ("rule_ledger", True),
     "op7_source_mixing": ("mixing", True),
