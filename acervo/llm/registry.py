@@ -8,6 +8,7 @@ import importlib
 OPERATORS = {
     "op1_winnowing": ("winnowing", False),
     "op2_byte_bpe": ("byte_bpe", False),
+    "op4_license_scan": ("license_scan", False),
     "op5_rule_ledger": ("rule_ledger", True),
     "op7_source_mixing": ("mixing", True),
     "op8_simhash": ("simhash", False),
