@@ -8,8 +8,10 @@ import importlib
 OPERATORS = {
     "op1_winnowing": ("winnowing", False),
     "op2_byte_bpe": ("byte_bpe", False),
+    "op3_quality_cotraining": ("cotraining", False),
     "op4_license_scan": ("license_scan", False),
     "op5_rule_ledger": ("rule_ledger", True),
+    "op6_substring_dedup": ("substring_dedup", False),
     "op7_source_mixing": ("mixing", True),
     "op8_simhash": ("simhash", False),
     "op9_token_files": ("token_files", False),

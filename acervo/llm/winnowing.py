@@ -57,7 +57,7 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return out >> np.uint64(24)
 
 
-def _window_minimum(values: np.ndarray, w: int) -> np.ndarray:
+def window_minimum(values: np.ndarray, w: int) -> np.ndarray:
     span = 1
     while span * 2 <= w:
         values = np.minimum(values[:-span], values[span:])
@@ -83,7 +83,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         stop = min(start + _BLOCK, grams - window + 1) + window - 1  # of the grams that these windows have
         h = gram_hashes(points[start : stop + k - 1], k)
         inverted = (np.uint64(1) << _POSITION_BITS) - np.uint64(1) - np.arange(len(h), dtype=np.uint64)
-        least = _window_minimum(h << _POSITION_BITS | inverted, window)
+        least = window_minimum(h << _POSITION_BITS | inverted, window)
         least = least[np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))]
         at = (np.uint64(1) << _POSITION_BITS) - np.uint64(1) - (least & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1)))
         hashes.append(least >> _POSITION_BITS)
