@@ -8,6 +8,7 @@ match.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 #: label: (names, SPDX identifiers, addresses, whether a name stands for itself)
@@ -92,6 +93,12 @@ class Rule:
     pattern: str
 
 
+def _start(body: str) -> str:
+    """The letters that every match of the pattern begins with."""
+    found = re.match(r"[a-z0-9 ]+(?![?])", body)
+    return found[0].rstrip() if found else ""
+
+
 def _rule(kind: str, label: str, number: int, keyword: str, body: str) -> Rule:
     priority, score = KINDS[kind]
     return Rule(f"{label}:{kind}:{number}", label, priority, score, keyword, f"(?<= )(?:{body})(?= )")
@@ -110,5 +117,5 @@ def rules() -> list[Rule]:
             if not body.endswith("license"):
                 found.append(_rule("title", label, i, " licen", f"{body} licen[sc]e"))
             if alone:
-                found.append(_rule("name", label, i, " ", body))
+                found.append(_rule("name", label, i, f" {_start(body)}", body))
     return sorted(found, key=lambda r: r.priority)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.common import read, whole_text
-from acervo.llm.license_rules import rules
+from acervo.llm.license_rules import Rule, rules
 
 #: What separates words: every ASCII character but digits and letters. A-Z are lower-cased afterwards.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -24,9 +24,12 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 GATE = (
     r"(?i) (?:licen[sc]|spdx |(?:released|distributed|redistributed|available|published|provided|covered|shared) under |gnu |[al]?gplv?[0-9]? |gfdl "
     r"|(?:mpl|epl|cddl|eupl|wtfpl|cc|cc0) |creative commons |creativecommons |(?:the )?public domain |all rights reserved |proprietary and |unauthorized copying "
-    r"|same terms as perl |(?:common|european|mozilla|eclipse|artistic|wikipedia|joinup|mit|dev|do) |(?:opensource|apache|opendatacommons|boost|unlicense|wtfpl|perlfoundation"
+    r"|same terms as perl |(?:common|mozilla|eclipse) (?:public|development) |european union |artistic license |do what the |wikipedia org |joinup ec |mit license |dev perl |mozilla org |eclipse org |(?:opensource|apache|opendatacommons|boost|unlicense|wtfpl|perlfoundation"
     r"|python|lang|php|postgresql|openssl|libpng|zlib|openldap|sil) (?:org|net|com) |mariadb com |curl (?:se|haxx) |cecill info )"
 )
+#: Rules of one keyword that are first tried as one pattern.
+TOGETHER = 12
+RULE = "array<struct<label:string,priority:int,score:double,pattern:string>>"
 DETECTION = "struct<label:string,priority:int,score:double,start:int,end:int>"
 
 
@@ -46,9 +49,19 @@ def _spans(text: Column, rule: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """All matches of all rules in a text of words, before suppression."""
-    listed = json.dumps([{"label": r.label, "priority": r.priority, "score": r.score, "keyword": r.keyword, "pattern": r.pattern} for r in rules()])
-    known = F.from_json(F.lit(listed), "array<struct<label:string,priority:int,score:double,keyword:string,pattern:string>>")
-    tried = F.filter(known, lambda r: F.contains(text, r["keyword"]) & F.rlike(text, r["pattern"]))
+    by_keyword: dict[str, list[Rule]] = {}
+    for r in rules():
+        by_keyword.setdefault(r.keyword, []).append(r)
+    groups = []
+    for keyword, members in by_keyword.items():
+        for start in range(0, len(members), TOGETHER):
+            some = members[start : start + TOGETHER]
+            listed = json.dumps([{"label": r.label, "priority": r.priority, "score": r.score, "pattern": r.pattern} for r in some])
+            any_of = "|".join(r.pattern for r in some)
+            known = F.from_json(F.lit(listed), RULE)
+            groups.append(F.when(F.contains(text, F.lit(keyword)) & text.rlike(any_of), known).otherwise(F.array().cast(RULE)))
+    gated = F.flatten(F.array(*groups))
+    tried = F.filter(gated, lambda r: F.rlike(text, r["pattern"]))
     return F.flatten(F.transform(tried, lambda r: _spans(text, r)))
 
 
