@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words end at an ASCII blank: space, or tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,14 +49,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow, with Arrow batches of a bounded size: very long texts do not add up in a worker.
+
+    The bound is the session's spark.sql.execution.arrow.maxBytesPerBatch, which is lowered to BATCH_BYTES.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", df.sparkSession.conf.get(key))[0]) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """The same rows, reread from a table in the shared folder: lineage ends here, and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As materialize, as a bucketed table: what groups it by the key needs no shuffle of it."""
+    path = new_path(df.sparkSession, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name, format="parquet")
+    return df.sparkSession.table(name)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that none is much over limit_bytes unless a single row is; this bounds what a worker holds."""
     for batch in batches:
