@@ -11,24 +11,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _ends(parts: Column) -> Column:
-    """Running totals of the lengths."""
-    zero = F.array().cast("array<int>")
-    return F.aggregate(parts, zero, lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + F.length(x))))
+def _starts(parts: Column, with_own: bool) -> Column:
+    """Running totals of the lengths, with or without each part's own."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def merge(state: Column, part: Column) -> Column:
+        end = state["at"] + F.length(part)
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(end if with_own else state["at"])).alias("out"))
+
+    return F.aggregate(parts, empty, merge, lambda s: s["out"])
 
 
 def find_all(text: Column, pattern: str, group: int | None = None, test: str | None = None) -> Column:
-    """Matches in order: structs of ini, fim, original and valor (the group where it is set, else the match)."""
+    """Matches in order: structs of ini, fim, original and valor (the group where it is set, else the match).
+
+    The arrays are zipped before anything looks at single matches: what a lambda refers to is evaluated anew for
+    every element.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = _ends(F.split(text, pattern, -1))
-    widths = _ends(found)
+    columns = [found.alias("m"), _starts(F.split(text, pattern, -1), True).alias("g"), _starts(found, False).alias("w")]
+    if group:
+        columns.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
 
-    def one(match: Column, i: Column) -> Column:
-        start = F.get(gaps, i) + F.coalesce(F.get(widths, i - 1), F.lit(0))
-        value = F.get(values, i)
-        value = F.when(value == "", match).otherwise(value) if group else match
-        return F.struct(start.alias("ini"), (start + F.length(match)).alias("fim"), match.alias("original"), value.alias("valor"))
+    def one(z: Column) -> Column:
+        start = z["g"] + z["w"]
+        value = F.when(z["v"] == "", z["m"]).otherwise(z["v"]) if group else z["m"]
+        return F.struct(start.alias("ini"), (start + F.length(z["m"])).alias("fim"), z["m"].alias("original"), value.alias("valor"))
 
     empty = F.array().cast("array<struct<ini:int,fim:int,original:string,valor:string>>")
-    return F.when(text.rlike(test or pattern), F.transform(found, one)).otherwise(empty)
+    matches = F.filter(F.arrays_zip(*columns), lambda z: z["m"].isNotNull())  # there is one gap more
+    return F.when(text.rlike(test or pattern), F.transform(matches, one)).otherwise(empty)

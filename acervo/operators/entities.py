@@ -80,9 +80,12 @@ def themes(text: Column) -> Column:
 def deduplicated(found: Column) -> Column:
     """Of entities with one (start, end, type) the first by pattern order."""
     ordered = F.array_sort(found.cast(f"array<{ENTITY}>"))
-    same = lambda a, b: (a["ini"] == b["ini"]) & (a["fim"] == b["fim"]) & (a["tipo"] == b["tipo"])
-    # equal starts stand together in the order, so a row's rivals are close before it
-    return F.filter(ordered, lambda r, i: ~F.exists(F.slice(ordered, F.greatest(i - len(ENTITY_PATTERNS) - len(THEMES) + 1, F.lit(1)), F.least(i, F.lit(len(ENTITY_PATTERNS) + len(THEMES)))), lambda e: same(e, r)))
+
+    def merge(kept: Column, r: Column) -> Column:
+        known = F.exists(kept, lambda e: (e["ini"] == r["ini"]) & (e["fim"] == r["fim"]) & (e["tipo"] == r["tipo"]))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(r)))
+
+    return F.aggregate(ordered, F.array().cast(f"array<{ENTITY}>"), merge)
 
 
 def entities(text: Column, masked: bool = True) -> Column:

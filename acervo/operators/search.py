@@ -57,10 +57,14 @@ def search_cosine(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(cosine_scores(index, queries), index, queries, k).where("score > 0")
 
 
-def search_hybrid(index: Index, queries: DataFrame, k: int = 10, alpha: float = ALPHA, rrf_k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of the first 2k of both lists, zeros included; ties go to the better BM25 rank."""
-    lexical = ranked(bm25_scores(index, queries), index, queries, 2 * k).select("query_id", "doc_idx", F.col("score").alias("score_bm25"), F.col("rank").alias("rank_bm25"))
-    dense = ranked(cosine_scores(index, queries), index, queries, 2 * k).select("query_id", "doc_idx", F.col("score").alias("score_semantico"), F.col("rank").alias("rank_semantico"))
+def search_hybrid(index: Index, queries: DataFrame, k: int = 10, alpha: float = ALPHA, rrf_k: int = RRF_K, steady: bool = False) -> DataFrame:
+    """Reciprocal rank fusion of the first 2k of both lists, zeros included; ties go to the better BM25 rank.
+
+    steady cuts scores at nine digits before they are ranked, so that ties do not hang on the order of additions.
+    """
+    cut = lambda scores: scores.withColumn("score", F.round("score", 9)) if steady else scores
+    lexical = ranked(cut(bm25_scores(index, queries)), index, queries, 2 * k).select("query_id", "doc_idx", F.col("score").alias("score_bm25"), F.col("rank").alias("rank_bm25"))
+    dense = ranked(cut(cosine_scores(index, queries)), index, queries, 2 * k).select("query_id", "doc_idx", F.col("score").alias("score_semantico"), F.col("rank").alias("rank_semantico"))
     part = lambda rank, weight: F.coalesce(F.lit(weight) / (F.col(rank) + rrf_k), F.lit(0.0))
     both = lexical.join(dense, ["query_id", "doc_idx"], "full")
     both = both.withColumn("score_combinado", part("rank_bm25", 1 - alpha) + part("rank_semantico", alpha))

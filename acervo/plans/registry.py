@@ -1,21 +1,438 @@
-"""All queries of the library itself, with their SQL twins."""
+"""All queries of the library itself, with their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from acervo.functions import lexicons as lx
+from acervo.functions import text as tx
+from acervo.functions.regexes import W as WORD_CHAR
+from acervo.functions.regexes import sql
+from acervo.operators import assistant, chunking, client, entities, grammar, index, rerank, search
+from acervo.plans import fixtures as fx
+from acervo.plans import oracles as o
+from acervo.sources import files, knowledge
 
 Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 6
+ENTITY_KINDS = tuple(dict.fromkeys(kind for kind, *_ in lx.ENTITY_PATTERNS))
+SINGLE = "SELECT 1::BIGINT AS query_id, 'the reason of that and the with ing' AS query"
+RARE = "SELECT 1::BIGINT AS query_id, 'habeas corpus zzz' AS query"
+BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def _queries_of(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(1, text)], "query_id long, query string")
+
+
+def _single(spark: SparkSession) -> DataFrame:
+    return _queries_of(spark, "the reason of that and the with ing")
+
+
+def _steady(df: DataFrame) -> DataFrame:
+    """Scores cut at nine digits before ranking, so that ties do not hang on the order of additions."""
+    return df.withColumn("score", F.round("score", 9))
+
+
+def _index(spark: SparkSession, sf_dir: str, legal: bool = False) -> tuple[index.Index, DataFrame]:
+    corpus = fx.corpus(fx.legal(spark, sf_dir) if legal else fx.documents(spark, sf_dir))
+    return index.build(corpus), corpus
+
+
+# --- text ------------------------------------------------------------------------------------------------------
+def tokenize(spark, sf_dir):
+    t = tx.tokenize(F.col("text"))
+    return fx.documents(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+def rerank_tokenize(spark, sf_dir):
+    return fx.legal(spark, sf_dir).select("doc_id", F.array_join(tx.rerank_tokens(F.col("text")), " ").alias("tokens"))
+
+
+def bigrams(spark, sf_dir):
+    return fx.legal(spark, sf_dir).select("doc_id", F.array_join(tx.bigrams(tx.rerank_tokens(F.col("text"))), "|").alias("bigrams"))
+
+
+def stopword_anti_join(spark, sf_dir):
+    stop = spark.createDataFrame([(w,) for w in lx.STOPWORDS], "term string")
+    rows = fx.documents(spark, sf_dir).select("doc_id", F.explode(tx.tokenize(F.col("text"), [""])).alias("term"))
+    return rows.join(F.broadcast(stop), "term", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def html_functions(spark, sf_dir):
+    t = F.concat(F.lit("**A** *b* & <c>\n> "), "text", F.lit("\n- x\n- y\n\nend"))
+    rows = fx.legal(spark, sf_dir).select("doc_id", t.alias("t"))
+    return rows.select("doc_id", tx.escape_html(F.col("t")).alias("escaped"), F.replace(tx.markdown_to_html(F.col("t")), F.lit("\n"), F.lit("")).alias("html"))
+
+
+def short_forms(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount")
+    d = F.col("l_discount")
+    return p.select("l_orderkey", "l_linenumber", tx.percent(d).alias("percent"), assistant.level(d * 10).alias("level"))
+
+
+def entity_classes(spark, sf_dir):
+    return entities.extract(fx.legal(spark, sf_dir)).select("tipo", tx.entity_class(F.col("tipo")).alias("classe")).distinct()
+
+
+def utf8_source(spark, sf_dir):
+    t = files.utf8_text(F.col("text").cast("binary"))
+    return fx.documents(spark, sf_dir).select("doc_id", t.alias("text"), files.extension(F.concat(F.lit("a.b/Doc."), F.when(F.col("doc_id") % 2 == 0, "TXT").otherwise("Md"))).alias("ext"))
+
+
+def knowledge_base(spark, sf_dir):
+    return knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", F.col("metadata")["fonte"].alias("fonte"), F.col("metadata")["tipo"].alias("tipo"), F.col("metadata")["area"].alias("area"))
+
+
+def added_documents(spark, sf_dir):
+    docs = fx.documents(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.col("text").alias("conteudo"), F.create_map(F.lit("fonte"), F.lit("d")).alias("metadata"))
+    return knowledge.add_documents(knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", "metadata"), docs).select("doc_idx", "id", F.length("conteudo").cast("long").alias("n"))
+
+
+# --- index -----------------------------------------------------------------------------------------------------
+def term_frequency(spark, sf_dir):
+    return index.postings(index.corpus_tokens(fx.corpus(fx.documents(spark, sf_dir))))
+
+
+def document_frequency(spark, sf_dir):
+    return _index(spark, sf_dir)[0].terms.select("term", "df", "first_doc")
+
+
+def bm25_idf(spark, sf_dir):
+    return rounded(_index(spark, sf_dir)[0].terms.select("term", "idf"), "idf")
+
+
+def index_stats(spark, sf_dir):
+    found, _ = _index(spark, sf_dir)
+    return rounded(index.statistics(found).crossJoin(found.stats.select("avg_dl")), "avg_dl")
+
+
+def tfidf_vocab(spark, sf_dir):
+    return rounded(_index(spark, sf_dir)[0].vocabulary, "weight_idf")
+
+
+def tfidf_vectors(spark, sf_dir):
+    return rounded(_index(spark, sf_dir)[0].vectors, "weight")
+
+
+# --- search ----------------------------------------------------------------------------------------------------
+def _out(df: DataFrame) -> DataFrame:
+    return rounded(df.select("query_id", "doc_idx", "score", "rank"), "score")
+
+
+def bm25_topk(spark, sf_dir):
+    found, _ = _index(spark, sf_dir)
+    q = _single(spark)
+    return _out(search.ranked(_steady(search.bm25_scores(found, q)), found, q, 10).where("score > 0"))
+
+
+def bm25_batch(spark, sf_dir):
+    found, _ = _index(spark, sf_dir)
+    q = fx.benchmark_questions(spark, sf_dir)
+    return _out(search.ranked(_steady(search.bm25_scores(found, q)), found, q, 10).where("score > 0"))
+
+
+def bm25_zero_tie_order(spark, sf_dir):
+    found, _ = _index(spark, sf_dir)
+    q = _queries_of(spark, "habeas corpus zzz")
+    return _out(search.ranked(_steady(search.bm25_scores(found, q)), found, q, 10))
+
+
+def cosine_topk(spark, sf_dir):
+    found, _ = _index(spark, sf_dir)
+    q = fx.benchmark_questions(spark, sf_dir)
+    return _out(search.ranked(_steady(search.cosine_scores(found, q)), found, q, 10).where("score > 0"))
+
+
+def _hybrid(alpha: float, legal: bool = False) -> Query:
+    def run(spark, sf_dir):
+        found, _ = _index(spark, sf_dir, legal)
+        q = fx.questions(spark) if legal else fx.benchmark_questions(spark, sf_dir)
+        return rounded(search.search_hybrid(found, q, 5, alpha, steady=True), "score_bm25", "score_semantico", "score_combinado")
+
+    return run
+
+
+def embedding_knn(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    one = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(search.nearest(vectors, one, 10), "score")
+
+
+def _reranked(spark, sf_dir, k: int) -> DataFrame:
+    found, corpus = _index(spark, sf_dir, legal=True)
+    q = fx.questions(spark)
+    fused = search.search_hybrid(found, q, 10, steady=True)
+    pairs = fused.join(corpus, "doc_idx").join(q, "query_id").select("query_id", "query", "doc_idx", "text", F.col("score_combinado").alias("score_original"), F.col("rank").alias("in_rank"))
+    return rerank.rerank(pairs, k)
+
+
+def rerank_features(spark, sf_dir):
+    return rounded(_reranked(spark, sf_dir, 10).select("query_id", "doc_idx", *lx.FEATURE_WEIGHTS), *lx.FEATURE_WEIGHTS)
+
+
+def rerank_topk(spark, sf_dir):
+    return rounded(_reranked(spark, sf_dir, 5).select("query_id", "doc_idx", "score_reranked", "rank"), "score_reranked")
+
+
+def rerank_explain(spark, sf_dir):
+    return _reranked(spark, sf_dir, 5).select("query_id", "rank", rerank.explain(F.col("doc_idx").cast("string")).alias("texto"))
+
+
+def confidence(spark, sf_dir):
+    rows = _reranked(spark, sf_dir, 5).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score_reranked"))), lambda x: x["score_reranked"]).alias("s"))
+    value = F.round(assistant.confidence(F.col("s")), DIGITS)
+    return rows.select("query_id", value.alias("confianca"), assistant.level(value).alias("nivel"))
+
+
+# --- entities --------------------------------------------------------------------------------------------------
+def _entity_kind(kind: str) -> Query:
+    def run(spark, sf_dir):
+        return entities.extract(fx.legal(spark, sf_dir)).where(F.col("tipo") == kind).drop("n")
+
+    return run
+
+
+def entities_all(spark, sf_dir):
+    return entities.extract(fx.legal(spark, sf_dir))
+
+
+def entities_documents(spark, sf_dir):
+    return entities.extract(fx.documents(spark, sf_dir))
+
+
+def entities_themes(spark, sf_dir):
+    return entities.extract(fx.legal(spark, sf_dir)).where("tipo = 'tema_juridico'").drop("n")
+
+
+def entities_masked(spark, sf_dir):
+    rows = entities.extract(fx.legal(spark, sf_dir)).where("tipo IN ('cpf', 'cnpj')")
+    return rows.select("doc_id", "tipo", "valor", (F.length(F.regexp_replace("valor", r"\P{Nd}", ""))).cast("long").alias("shown"))
+
+
+def entity_summary(spark, sf_dir):
+    return entities.summary(entities.extract(fx.legal(spark, sf_dir)))
+
+
+def cross_references(spark, sf_dir):
+    return entities.cross_references(fx.legal(spark, sf_dir))
+
+
+# --- corrections -----------------------------------------------------------------------------------------------
+def _corrections(*families: str) -> Query:
+    def run(spark, sf_dir):
+        return grammar.correction_rows(fx.legal(spark, sf_dir), families)
+
+    return run
+
+
+def grammar_documents(spark, sf_dir):
+    return grammar.correction_rows(fx.documents(spark, sf_dir), ("punctuation",))
+
+
+def corrected_text(spark, sf_dir):
+    return grammar.correct(fx.legal(spark, sf_dir)).select("doc_id", "texto_corrigido")
+
+
+def correction_summary(spark, sf_dir):
+    return grammar.correction_summary(grammar.correction_rows(fx.legal(spark, sf_dir)))
+
+
+def severity_counts(spark, sf_dir):
+    return grammar.severity_counts(grammar.correction_rows(fx.legal(spark, sf_dir)))
+
+
+# --- chunks ----------------------------------------------------------------------------------------------------
+def _path(c: str = "hierarquia") -> Column:
+    return F.array_join(c, " > ").alias("hierarquia")
+
+
+def chunk_segments(spark, sf_dir):
+    return chunking.segments(fx.legal(spark, sf_dir)).select("doc_id", F.col("linha").cast("long").alias("linha"), "tipo", "conteudo", _path())
+
+
+def chunk_structural(spark, sf_dir):
+    rows = chunking.structural_chunks(fx.legal(spark, sf_dir), F.lit("Lei X"))
+    return chunking.with_context(rows).select("doc_id", "chunk_id", "tipo", "conteudo", _path(), "fonte", "tamanho", "lin_ini", "lin_fim", "contexto_completo")
+
+
+def chunk_split(spark, sf_dir):
+    return chunking.structural_chunks(fx.documents(spark, sf_dir)).select("doc_id", "chunk_id", "tipo", "conteudo", "tamanho")
+
+
+def chunk_by_article(spark, sf_dir):
+    return chunking.article_chunks(fx.legal(spark, sf_dir))
+
+
+def chunk_simple(spark, sf_dir):
+    return chunking.simple_chunks(fx.legal(spark, sf_dir))
+
+
+# --- whole records ---------------------------------------------------------------------------------------------
+def document_analysis(spark, sf_dir):
+    rows = assistant.analyze(fx.legal(spark, sf_dir))
+    return rows.select("doc_id", "num_chunks", F.size("entidades").cast("long").alias("n_entidades"), F.size("correcoes").cast("long").alias("n_correcoes"), F.coalesce(F.size("referencias_cruzadas"), F.lit(0)).cast("long").alias("n_leis"))
+
+
+def consult(spark, sf_dir):
+    base = knowledge.base_documents(spark).select("doc_idx", F.col("conteudo").alias("text"), F.col("metadata")["fonte"].alias("fonte"))
+    return assistant.consult(base, fx.questions(spark)).select("query_id", "query_original", "query_corrigida", "resposta", F.round("score_confianca", DIGITS).alias("score_confianca"), F.to_json("temas").alias("temas"), F.to_json("referencias_normativas").alias("referencias"))
+
+
+def history_last20(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    return assistant.last_records(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("query_original")))
+
+
+# --- light engine ----------------------------------------------------------------------------------------------
+def _client_corpus(spark, sf_dir):
+    return fx.corpus(fx.legal(spark, sf_dir))
+
+
+def client_tokenize(spark, sf_dir):
+    return fx.documents(spark, sf_dir).select("doc_id", F.array_join(tx.client_tokens(F.col("text")), " ").alias("tokens"))
+
+
+def client_bm25(spark, sf_dir):
+    return rounded(client.bm25(_client_corpus(spark, sf_dir), fx.questions(spark)), "bm25")
+
+
+def client_jaccard(spark, sf_dir):
+    return rounded(client.jaccard(_client_corpus(spark, sf_dir), fx.questions(spark)), "semantic")
+
+
+def client_linear_fusion(spark, sf_dir):
+    return rounded(client.search(_client_corpus(spark, sf_dir), fx.questions(spark), digits=9), "score", "bm25", "semantic")
+
+
+def client_entities(spark, sf_dir):
+    return client.extract(fx.legal(spark, sf_dir))
+
+
+def client_grouped(spark, sf_dir):
+    return client.grouped(client.extract(fx.legal(spark, sf_dir))).select("doc_id", "tipo", F.array_join("valores", "|").alias("valores"))
+
+
+def client_grammar(spark, sf_dir):
+    return client.correction_rows(fx.legal(spark, sf_dir))
+
+
+def client_corrected(spark, sf_dir):
+    return client.correct(fx.legal(spark, sf_dir)).select("doc_id", "corrected")
+
+
+def client_answers(spark, sf_dir):
+    base = spark.createDataFrame([(i, t, s) for i, (_, t, s, _) in enumerate(knowledge.CLIENT_BASE)], "doc_idx long, text string, source string")
+    return client.process_queries(base, fx.questions(spark)).select("query_id", "query_corrigida", "resposta", F.round("score_confianca", DIGITS).alias("score_confianca"))
+
+
+def session_counters(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("queries", "entities", "corrections", "documents")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return client.session_counters(spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("kind"), (F.col("event_id") % 7).alias("amount")))
+
+
+def recent_activity(spark, sf_dir):
+    return client.recent_activity(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type"), "event_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return bm25_topk(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {
+        f.__name__: f
+        for f in (
+            tokenize, rerank_tokenize, bigrams, stopword_anti_join, html_functions, short_forms, entity_classes, utf8_source, knowledge_base, added_documents,
+            term_frequency, document_frequency, bm25_idf, index_stats, tfidf_vocab, tfidf_vectors,
+            bm25_topk, bm25_batch, bm25_zero_tie_order, cosine_topk, embedding_knn, rerank_features, rerank_topk, rerank_explain, confidence,
+            entities_all, entities_documents, entities_themes, entities_masked, entity_summary, cross_references,
+            grammar_documents, corrected_text, correction_summary, severity_counts,
+            chunk_segments, chunk_structural, chunk_split, chunk_by_article, chunk_simple, document_analysis, consult, history_last20,
+            client_tokenize, client_bm25, client_jaccard, client_linear_fusion, client_entities, client_grouped, client_grammar, client_corrected, client_answers, session_counters, recent_activity,
+        )
+    }
+    found |= {"rrf_hybrid": _hybrid(0.5), "rrf_hybrid_legal": _hybrid(0.5, legal=True), "hybrid_alpha0": _hybrid(0.0), "hybrid_alpha1": _hybrid(1.0)}
+    found |= {f"entity_{kind}": _entity_kind(kind) for kind in ENTITY_KINDS}
+    found |= {f"grammar_{family}": _corrections(family) for family in o.FAMILIES}
+    found["grammar_all"] = _corrections(*o.FAMILIES)
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    r = lambda *cs: ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in cs)
+    docs = o.with_(o.index_ctes("documents"))
+    search_docs = lambda q: o.with_(o.index_ctes("documents"), o.search_ctes(q))
+    legal = o.with_(o.LEGAL)
+    reranked = o.with_(o.LEGAL, o.index_ctes("legal"), o.search_ctes(fx.QUESTIONS_SQL), o.hybrid(10, 0.5), o.rerank_ctes())
+    top = lambda k: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_reranked DESC, in_rank) AS rk FROM scored QUALIFY rk <= {k}"
+    ranked = lambda table, k, only: f"SELECT query_id, doc_idx, {r('score')}, rank FROM ({o.ranked(table, k)})" + (" WHERE score > 0" if only else "")
+    fused = "SELECT query_id, doc_idx, " + r("score_bm25", "score_semantico", "score_combinado") + ", place AS rank FROM fused"
+    ents = o.with_(o.LEGAL, o.entity_ctes())
+    fixes = o.with_(o.LEGAL, o.correction_ctes())
+    doc_text = "documents_ AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+    split_at = rf"Art\.{o.S}*\p{{Nd}}+"
+    article = f"""pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {sql('(' + split_at + ')')}, chr(1) || '\\1', 'g'), chr(1)), lambda x: {o._strip('x')}), lambda x: x <> '') AS p FROM legal))"""
+    number = f"regexp_extract(piece, {sql('^Art' + chr(92) + '.' + o.S + '*(' + chr(92) + 'p{Nd}+)')}, 1)"
+    found = {
+        "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {o.tokens('text')} AS t FROM documents)",
+        "rerank_tokenize": f"{legal}SELECT doc_id, array_to_string({o.tokens('text', lx.RERANK_STOPWORDS)}, ' ') AS tokens FROM legal",
+        "bigrams": f"{legal}SELECT doc_id, array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|') AS bigrams FROM (SELECT doc_id, {o.tokens('text', lx.RERANK_STOPWORDS)} AS t FROM legal)",
+        "stopword_anti_join": f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {sql(WORD_CHAR + '+')})) AS t FROM documents) WHERE length(t) > 1 AND t NOT IN ({', '.join(map(sql, lx.STOPWORDS))}) GROUP BY doc_id",
+        "short_forms": "SELECT l_orderkey, l_linenumber, CAST(CAST(round_even(l_discount * 100, 0) AS INT) AS VARCHAR) || '%' AS percent, CASE WHEN l_discount * 10 > 0.7 THEN 'alta' WHEN l_discount * 10 > 0.4 THEN 'média' ELSE 'baixa' END AS level FROM lineitem",
+        "entity_classes": f"{ents}SELECT DISTINCT tipo, coalesce(map {{{', '.join(f'{sql(k)}: {sql(v)}' for k, v in lx.ENTITY_CLASSES.items())}}}[tipo], 'default') AS classe FROM ents",
+        "utf8_source": "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'txt' ELSE 'md' END AS ext FROM documents",
+        "knowledge_base": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {', '.join(map(sql, (k, t, f, p, a)))})" for i, (k, t, f, p, a) in enumerate(knowledge.BASE)) + ") AS t(doc_idx, id, conteudo, fonte, tipo, area)",
+        "added_documents": "SELECT CAST(doc_idx AS BIGINT) AS doc_idx, id, CAST(length(conteudo) AS BIGINT) AS n FROM (VALUES " + ", ".join(f"({i}, {sql(k)}, {sql(t)})" for i, (k, t, *_) in enumerate(knowledge.BASE)) + ") AS t(doc_idx, id, conteudo) UNION ALL SELECT row_number() OVER (ORDER BY doc_id) + 9, lpad(CAST(doc_id AS VARCHAR), 12, '0'), length(text) FROM documents",
+        "term_frequency": f"{docs}SELECT doc_idx, term, tf FROM post",
+        "document_frequency": f"{docs}SELECT term, df, first_doc FROM terms",
+        "bm25_idf": f"{docs}SELECT term, {r('idf')} FROM terms",
+        "index_stats": f"{docs}SELECT n_docs AS total_documentos, (SELECT count(*) FROM terms) AS vocabulario_bm25, (SELECT count(*) FROM vocab) AS vocabulario_embedding, 128::BIGINT AS dimensao_embedding, CAST(0.5 AS DOUBLE) AS alpha, n_docs > 0 AS indexado, {r('avg_dl')} FROM stat",
+        "tfidf_vocab": f"{docs}SELECT term, slot, round(widf, {DIGITS}) AS weight_idf FROM vocab",
+        "tfidf_vectors": f"{docs}SELECT doc_idx, term, {r('weight')} FROM vect",
+        "bm25_topk": search_docs(SINGLE) + ranked("bmall", 10, True),
+        "bm25_batch": search_docs(BENCH) + ranked("bmall", 10, True),
+        "bm25_zero_tie_order": search_docs(RARE) + ranked("bmall", 10, False),
+        "cosine_topk": search_docs(BENCH) + ranked("coall", 10, True),
+        "rrf_hybrid": o.with_(o.index_ctes("documents"), o.search_ctes(BENCH), o.hybrid(5, 0.5)) + fused,
+        "rrf_hybrid_legal": o.with_(o.LEGAL, o.index_ctes("legal"), o.search_ctes(fx.QUESTIONS_SQL), o.hybrid(5, 0.5)) + fused,
+        "hybrid_alpha0": o.with_(o.index_ctes("documents"), o.search_ctes(BENCH), o.hybrid(5, 0.0)) + fused,
+        "hybrid_alpha1": o.with_(o.index_ctes("documents"), o.search_ctes(BENCH), o.hybrid(5, 1.0)) + fused,
+        "embedding_knn": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
+        "rerank_features": f"{reranked}SELECT query_id, doc_idx, {r(*lx.FEATURE_WEIGHTS)} FROM scored",
+        "rerank_topk": f"{reranked}SELECT query_id, doc_idx, {r('score_reranked')}, rk AS rank FROM ({top(5)})",
+        "confidence": f"{reranked}SELECT query_id, confianca, CASE WHEN confianca > 0.7 THEN 'alta' WHEN confianca > 0.4 THEN 'média' ELSE 'baixa' END AS nivel FROM (SELECT query_id, round(least(1.0::DOUBLE, avg(score_reranked) * 5), {DIGITS}) AS confianca FROM ({top(5)}) GROUP BY query_id)",
+        "entities_all": f"{ents}SELECT * FROM ents",
+        "entities_documents": o.with_(doc_text, o.entity_ctes("documents_")) + "SELECT * FROM ents",
+        "entities_themes": f"{ents}SELECT * EXCLUDE (n) FROM ents WHERE tipo = 'tema_juridico'",
+        "entities_masked": f"{ents}SELECT doc_id, tipo, valor, CAST(CASE tipo WHEN 'cpf' THEN 3 ELSE 4 END AS BIGINT) AS shown FROM ents WHERE tipo IN ('cpf', 'cnpj')",
+        "entity_summary": f"{ents}SELECT doc_id, tipo, count(*) AS n, min(n) AS first FROM ents GROUP BY doc_id, tipo",
+        "cross_references": f"{legal}{o.cross_reference_rows()}",
+        "grammar_documents": o.with_(doc_text, o.correction_ctes(("punctuation",), "documents_")) + "SELECT * FROM fixes",
+        "grammar_all": f"{fixes}SELECT * FROM fixes",
+        "corrected_text": o.with_(o.LEGAL, o.correction_ctes(), o.EDITED) + "SELECT * FROM edited",
+        "correction_summary": f"{fixes}SELECT doc_id, tipo, severidade, count(*) AS n FROM fixes GROUP BY GROUPING SETS ((doc_id, tipo), (doc_id, severidade), (doc_id))",
+        "severity_counts": f"{fixes}SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE severidade = '{s}') AS {s}" for s in ("erro", "aviso", "info", "critico")) + " FROM fixes GROUP BY doc_id",
+        "chunk_segments": o.with_(o.LEGAL, o.segment_ctes()) + "SELECT doc_id, CAST(linha AS BIGINT) AS linha, tipo, conteudo, array_to_string(hierarquia, ' > ') AS hierarquia FROM segs",
+        "chunk_by_article": o.with_(o.LEGAL, article) + f"SELECT doc_id, 'chunk_' || lpad(CAST(k AS VARCHAR), 6, '0') AS chunk_id, CASE WHEN {number} <> '' THEN 'artigo' ELSE 'preambulo' END AS tipo, piece AS conteudo, CASE WHEN {number} <> '' THEN 'Art. ' || {number} ELSE 'Preâmbulo' END AS referencia FROM pieces",
+        "chunk_simple": o.with_(o.LEGAL, article) + f"SELECT doc_id, CAST(k - 1 AS BIGINT) AS n, CASE WHEN {number} <> '' THEN 'Artigo ' || {number} ELSE 'Texto' END AS type, piece AS content FROM pieces",
+        "history_last20": "SELECT seq, query_original FROM (SELECT conv_id * 1000 + turn AS seq, text AS query_original FROM conversations WHERE role = 'user' ORDER BY seq DESC LIMIT 20)",
+        "client_tokenize": f"SELECT doc_id, array_to_string({o.tokens('text', lx.CLIENT_STOPWORDS, o.CLIENT_RUN)}, ' ') AS tokens FROM documents",
+        "client_bm25": o.with_(o.LEGAL, o.CLIENT_INDEX) + f"SELECT query_id, doc_idx, {r('bm25')} FROM bm",
+        "client_jaccard": o.with_(o.LEGAL, o.CLIENT_INDEX) + f"SELECT query_id, doc_idx, {r('semantic')} FROM ja",
+        "client_linear_fusion": o.with_(o.LEGAL, o.CLIENT_INDEX) + f"SELECT query_id, doc_idx, round(least(1, raw), {DIGITS}) AS score, round(bm25 / 10, {DIGITS}) AS bm25, {r('semantic')}, row_number() OVER (PARTITION BY query_id ORDER BY least(1, raw) DESC, doc_idx) AS rank FROM (SELECT query_id, doc_idx, coalesce(bm25, 0) AS bm25, coalesce(semantic, 0) AS semantic, round(0.5 * (coalesce(bm25, 0) / 10) + 0.5 * coalesce(semantic, 0), 9) AS raw FROM bm FULL JOIN ja USING (query_id, doc_idx)) WHERE raw > 0.01 QUALIFY rank <= 5",
+        "client_entities": o.with_(o.LEGAL, f"raw AS MATERIALIZED ({o.client_entity_rows()})") + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, pos) - 1 AS BIGINT) AS n, tipo, valor, texto_original, confianca FROM (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY doc_id, tipo, k ORDER BY ord, pos) = 1)",
+        "client_grouped": o.with_(o.LEGAL, f"raw AS MATERIALIZED ({o.client_entity_rows()})") + "SELECT doc_id, tipo, string_agg(valor, '|' ORDER BY first) AS valores FROM (SELECT doc_id, tipo, valor, min(ord * 1000 + pos) AS first FROM raw GROUP BY ALL) GROUP BY doc_id, tipo",
+        "session_counters": "SELECT " + ", ".join(f"CAST(sum(event_id % 7) FILTER (WHERE event_id % 4 = {i}) AS BIGINT){' + 10' if k == 'documents' else ''} AS {k}" for i, k in enumerate(("queries", "entities", "corrections", "documents"))) + " FROM events",
+        "recent_activity": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10",
+    }
+    found |= {f"entity_{kind}": o.with_(o.LEGAL, f"found AS MATERIALIZED ({o.entity_rows('legal', (kind,), themes=False)})") + "SELECT doc_id, tipo, valor, texto_original, CAST(ini AS BIGINT) AS ini, CAST(fim AS BIGINT) AS fim, confianca, area FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, ini, fim, tipo ORDER BY ord, pos) = 1" for kind in ENTITY_KINDS}
+    found |= {f"grammar_{family}": o.with_(o.LEGAL, o.correction_ctes((family,))) + "SELECT * FROM fixes" for family in o.FAMILIES}
+    return found
