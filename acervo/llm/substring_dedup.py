@@ -7,8 +7,8 @@ an anchor holds all their copies, and only anchors that occur twice matter:
 1. Every text's anchors are listed; texts that are whole copies of each other count as one.
 2. The anchors' hashes are dealt out; those that only one place has are dropped.
 3. Each text with anchors left gives, for each, the segment of bytes that the anchor's windows cover.
-4. A shard gathers whole groups of segments, keeps distinct ones, and builds one suffix array by induced sorting.
-   Where the permuted common prefix of a suffix or its successor in the array reaches LENGTH, a window repeats.
+4. A shard gathers whole groups of segments and keeps distinct ones, but for those that agree with no other of
+   their group over LENGTH bytes around the anchor. It builds one suffix array by induced sorting. Where the permuted common prefix of a suffix or its successor in the array reaches LENGTH, a window repeats.
 5. The windows go back to their texts, which merge them and drop their bytes.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import materialize, read, rows_of, whole_text
+from acervo.llm.common import mapped, materialize, read, rows_of, whole_text
 from acervo.llm.suffix_array import permuted_prefixes, suffix_array
 from acervo.llm.winnowing import gram_hashes, window_minimum
 
@@ -36,9 +36,9 @@ _MASK = (np.uint64(1) << _PLACE) - np.uint64(1)
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, number of windows, the anchor's hash (signed)."""
-    first, count, hashes = [], [], []
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, number of windows, the anchor's hash (signed) and place."""
+    first, count, hashes, places = [], [], [], []
     windows = len(data) - length + 1
     raw = np.frombuffer(data, np.uint8)
     for start in range(0, windows, _BLOCK):
@@ -49,10 +49,11 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         first.append(cut + start)
         count.append(np.diff(cut, append=len(least)))
-        hashes.append(_whole_hash(raw, (least[cut] & _MASK).astype(np.int64) + start, gram))
+        places.append((least[cut] & _MASK).astype(np.int64) + start)
+        hashes.append(_whole_hash(raw, places[-1], gram))
     if not first:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(first), np.concatenate(count), np.concatenate(hashes)
+        return (np.zeros(0, np.int64),) * 4
+    return np.concatenate(first), np.concatenate(count), np.concatenate(hashes), np.concatenate(places)
 
 
 def _whole_hash(raw: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
@@ -114,33 +115,53 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # --- segments --------------------------------------------------------------------------------------------------
-PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key long, start long"
+PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key long, start long, anchor long"
 
 
 def _segments(length: int):
     """For each text a row with its bytes (unless it is removed whole), and a row for each anchor's segment."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = [part.split()[0] for part in PIECE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("_text", "sha", "n_copies", "text_key", "numbers")
         for batch in rows_of(batches, 1 << 20):
+            rows = []
             for text, sha, copies, key, numbers in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 data = text.encode()
-                first, count, hashes = anchors(data, length)
-                rows = [(sha, data if copies == 1 else None, copies, None, None, None, None, None)]
+                first, count, hashes, places = (x.tolist() for x in anchors(data, length))
+                rows.append((sha, data if copies == 1 else None, copies, None, None, None, None, None, None))
                 for i in sorted(set(numbers)):
                     if i < len(first):
                         segment = data[first[i] : first[i] + count[i] + length - 1]
-                        rows.append((None, None, copies, int(hashes[i]), segment, hashlib.sha256(segment).digest()[:16], key, int(first[i])))
-                yield batch_of(rows)
+                        rows.append((None, None, copies, hashes[i], segment, hashlib.sha256(segment).digest()[:16], key, first[i], places[i] - first[i]))
+            yield batch_of(rows)
 
     return run
 
 
+def _agreement(parts: list[bytes]) -> list[int]:
+    """For each part the most bytes from its start that another one shares; neighbours in order share most."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    best = [0] * len(parts)
+    for i, j in zip(order, order[1:]):  # noqa: B905
+        n = min(len(parts[i]), len(parts[j]))
+        differs = (int.from_bytes(parts[i][:n]) ^ int.from_bytes(parts[j][:n])).bit_length()
+        shared = n - (differs + 7) // 8
+        best[i], best[j] = max(best[i], shared), max(best[j], shared)
+    return best
+
+
+def candidates(segments: list[bytes], anchor: list[int], length: int = LENGTH) -> list[int]:
+    """Of a group's distinct segments those that may share a window: around the anchor, at least length bytes agree with others."""
+    after = _agreement([s[a:] for s, a in zip(segments, anchor, strict=True)])
+    before = _agreement([s[:a][::-1] for s, a in zip(segments, anchor, strict=True)])
+    return [i for i in range(len(segments)) if before[i] + after[i] >= length]
+
+
 def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each of distinct segments, the starts of its windows that occur in two places of all the segments."""
     sizes = np.array([len(s) for s in segments], np.int64)
@@ -184,9 +205,9 @@ def _marked(length: int):
         def close_group() -> None:
             nonlocal held, group
             if len(group) > 1:
-                for hash_, key, segment, _, repeats, _ in group:
-                    shard.append((hash_, key, segment))
-                    held += len(segment)
+                for i in candidates([g[2] for g in group], [g[3] for g in group], length):
+                    shard.append(tuple(group[i][:3]))
+                    held += len(group[i][2])
             for hash_, key, segment, _, repeats, _ in group:
                 if repeats:
                     done.append((hash_, key, 0, len(segment) - length))
@@ -206,9 +227,9 @@ def _marked(length: int):
             done = []
             return out
 
-        names = ("hash", "segment_key", "segment", "n_copies", "text_key", "start")
+        names = ("hash", "segment_key", "segment", "n_copies", "text_key", "start", "anchor")
         for batch in rows_of(batches):
-            for hash_, key, segment, copies, text, start in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for hash_, key, segment, copies, text, start, anchor in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if hash_ != current:
                     close_group()
                     current = hash_
@@ -217,7 +238,7 @@ def _marked(length: int):
                 if group and group[-1][1] == key:
                     group[-1][4] |= copies > 1 or group[-1][5] != (text, start)
                 else:
-                    group.append([hash_, key, segment, copies, copies > 1, (text, start)])
+                    group.append([hash_, key, segment, anchor, copies > 1, (text, start)])
             if done:
                 yield emit()
         close_group()
@@ -258,27 +279,27 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataF
     text of length bytes or more lose all of it. Matches never cross texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
-    listed = materialize(rows.mapInArrow(_listed(length), "doc_id long, sha binary, n_bytes long, hashes array<long>"), "anchors")
+    listed = materialize(rows.transform(mapped, _listed(length), "doc_id long, sha binary, n_bytes long, hashes array<long>"), "anchors")
     texts = listed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     places = listed.select(F.xxhash64("sha").alias("text_key"), F.posexplode("hashes").alias("number", "hash"))
     places = places.repartition("hash").sortWithinPartitions("hash")
-    again = places.mapInArrow(_repeated, "text_key long, number int")
+    again = places.transform(mapped, _repeated, "text_key long, number int")
     chosen = again.groupBy("text_key").agg(F.collect_list("number").alias("numbers"))
     chosen = texts.withColumn("text_key", F.xxhash64("sha")).join(chosen, "text_key")
     chosen = chosen.select(F.col("sha").alias("_sha"), F.col("rep").alias("_rep"), "n_copies", "text_key", "numbers")
     hashed = rows.withColumn("sha", F.unhex(F.sha2("_text", 256)))
     found = hashed.join(chosen, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_rep")))
-    pieces = found.select("_text", "sha", "n_copies", "text_key", "numbers").mapInArrow(_segments(length), PIECE)
+    pieces = found.select("_text", "sha", "n_copies", "text_key", "numbers").transform(mapped, _segments(length), PIECE)
     pieces = materialize(pieces, "segments")
     segments = pieces.where("segment IS NOT NULL")
-    sorted_ = segments.select("hash", "segment_key", "segment", "n_copies", "text_key", "start").repartition("hash").sortWithinPartitions("hash", "segment_key")
-    marks = sorted_.mapInArrow(_marked(length), "hash long, segment_key binary, first long, last long")
+    sorted_ = segments.select("hash", "segment_key", "segment", "n_copies", "text_key", "start", "anchor").repartition("hash").sortWithinPartitions("hash", "segment_key")
+    marks = sorted_.transform(mapped, _marked(length), "hash long, segment_key binary, first long, last long")
     marks = marks.select(F.col("hash").alias("_hash"), F.col("segment_key").alias("_key"), "first", "last")
     windows = segments.select("hash", "segment_key", "text_key", "start").join(marks, (F.col("segment_key") == F.col("_key")) & (F.col("hash") == F.col("_hash")))
     windows = windows.groupBy("text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("ranges"))
     windows = windows.withColumnRenamed("text_key", "_text_key")
     bodies = pieces.where("text IS NOT NULL").select("sha", "text").withColumn("_text_key", F.xxhash64("sha"))
-    cleaned = bodies.join(windows, "_text_key").select("sha", "text", "ranges").mapInArrow(_cleaned(length), CLEANED)
+    cleaned = bodies.join(windows, "_text_key").select("sha", "text", "ranges").transform(mapped, _cleaned(length), CLEANED)
     cleaned = cleaned.select(F.col("sha").alias("_sha"), *CLEANED_NAMES[1:])
     whole = texts.select(F.col("sha").alias("_sha2"), "n_copies")
     out = listed.select("doc_id", "sha", "n_bytes").join(whole, F.col("sha") == F.col("_sha2")).join(cleaned, F.col("sha") == F.col("_sha"), "left")
