@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import read, rows_of, whole_text
+from acervo.llm.common import mapped, read, rows_of, whole_text
 
 #: Most labelled rows that are learned from, and most rows without labels in the pool.
 LABELLED = 3000
@@ -223,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text(text).alias("_text"), *metadata)
     rows = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text", *metadata)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = rows.mapInArrow(_views(metadata), f"_id {kind}, _label double, x binary, m binary").limit(2 * (labelled + pool)).toArrow()
+    table = rows.transform(mapped, _views(metadata), f"_id {kind}, _label double, x binary, m binary").limit(2 * (labelled + pool)).toArrow()
     ids_, y = table.column("_id").to_pylist(), table.column("_label").to_pylist()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, TEXT_DIMS)
     m = np.frombuffer(b"".join(table.column("m").to_pylist()), np.float32).reshape(-1, META_DIMS)
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",
         schema = schema.add(name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     rows = docs.select(*keep, whole_text(text).alias("_text"), *[F.col(c).alias(f"_meta_{c}") for c in metadata])
-    return rows.mapInArrow(_scored(shared, metadata, len(keep)), schema).withColumn("kept", F.col("score") >= threshold)
+    return rows.transform(mapped, _scored(shared, metadata, len(keep)), schema).withColumn("kept", F.col("score") >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

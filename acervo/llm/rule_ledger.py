@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import WORD, read, rows_of, whole_text
+from acervo.llm.common import WORD, mapped, read, rows_of, whole_text
 
 #: Bit of each rule, by name. A bit never changes its meaning; new rules get new bits.
 RULES = {
@@ -104,7 +104,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     schema = docs.select(*keep).schema
     for part in MEASURES.split(","):
         schema = schema.add(part.split()[0], "long")
-    rows = docs.select(*keep, whole_text(text).alias("_text")).mapInArrow(_measured, schema)
+    rows = docs.select(*keep, whole_text(text).alias("_text")).transform(mapped, _measured, schema)
     return rows.withColumn("failed", failure_bits())
 
 
@@ -126,7 +126,7 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
     patterns = rows.groupBy("failed").agg(F.count("*").alias("_n"))
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << b).cast("long").alias("bit")) for r, b in RULES.items()]))
     all_bits = F.lit(mask(policy)).cast("long")
-    rest = F.col("r.bit").bitwiseNOT().bitwiseAND(all_bits)
+    rest = F.bitwise_not(F.col("r.bit")).bitwiseAND(all_bits)
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("_n"))), F.lit(0)).cast("long")
     return (
         patterns.select("*", rules.alias("r"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import WORD, materialize, read, rows_of, whole_text
+from acervo.llm.common import WORD, mapped, materialize, read, rows_of, whole_text
 from acervo.llm.components import components
 
 SHINGLE = 3
@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns with _fp (the fingerprint as a signed long); a null text is empty and has zero."""
     schema = docs.select(*keep).schema.add("_fp", "long")
-    return docs.select(*keep, whole_text(text).alias("_text")).mapInArrow(_fingerprints, schema)
+    return docs.select(*keep, whole_text(text).alias("_text")).transform(mapped, _fingerprints, schema)
 
 
 # --- links -----------------------------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) of the distinct fingerprints fp that connect them as all links of DISTANCE bits would."""
-    index = distinct.select("fp").mapInArrow(_variants, "value long, fp long, own boolean")
+    index = distinct.select("fp").transform(mapped, _variants, "value long, fp long, own boolean")
     index = materialize(index, "variants")
     counts = index.groupBy("value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("any_own AND n > 1")
     index = index.join(counts.select("value", (F.col("n") > SPLIT).alias("hot")), "value")
@@ -209,7 +209,7 @@ def links(distinct: DataFrame) -> DataFrame:
     split = F.array(*[(F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255)) + 1 + 256 * i).cast("int") for i in range(4)])
     index = index.select("value", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0)))).alias("part"), "fp", "own")
     ordered = index.repartition("value", "part").sortWithinPartitions("value", "part", F.desc("own"), "fp")
-    return ordered.mapInArrow(_met, "a long, b long")
+    return ordered.transform(mapped, _met, "a long, b long")
 
 
 def classes(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:

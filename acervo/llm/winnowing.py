@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from acervo.llm.common import materialize, read, rows_of, whole_text
+from acervo.llm.common import mapped, materialize, read, rows_of, whole_text
 
 K = 24
 WINDOW = 27
@@ -125,8 +126,8 @@ def _listed(k: int, window: int):
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns with fingerprint: the chosen (hash, position) pairs in order; a null text has none."""
-    schema = docs.select(*keep).schema.add("fingerprint", "array<struct<hash:bigint,position:bigint>>")
-    return docs.select(*keep, whole_text(text).alias("_text")).mapInArrow(_listed(k, window), schema)
+    schema = docs.select(*keep).schema.add("fingerprint", ArrayType(StructType().add("hash", "long").add("position", "long")))
+    return docs.select(*keep, whole_text(text).alias("_text")).transform(mapped, _listed(k, window), schema)
 
 
 # --- each document against its edited text and its neighbour ----------------------------------------------------
@@ -187,7 +188,7 @@ def against_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
-    done = materialize(ordered.mapInArrow(_neighbours, f"{FOUND}, {EDGE}"), "winnowed")
+    done = materialize(ordered.transform(mapped, _neighbours, f"{FOUND}, {EDGE}"), "winnowed")
     inner = done.where("part IS NULL").select(*_FOUND)
     edges = done.where("part IS NOT NULL")
     parts = sorted(r[0] for r in edges.select("part").distinct().collect())  # as many as the ranges
@@ -195,7 +196,7 @@ def against_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
     lookup = docs.sparkSession.createDataFrame(list(after.items()), "_part int, _after int")
     tails = edges.where("NOT head").join(F.broadcast(lookup), F.col("part") == F.col("_part")).select("doc_id", "text", "_after")
     heads = edges.where("head").select(F.col("part").alias("_head"), F.col("text").alias("after"))
-    outer = tails.join(heads, F.col("_after") == F.col("_head")).select("doc_id", "text", "after").mapInArrow(_pairs, FOUND)
+    outer = tails.join(heads, F.col("_after") == F.col("_head")).select("doc_id", "text", "after").transform(mapped, _pairs, FOUND)
     return inner.unionByName(outer)
 
 
