@@ -47,7 +47,8 @@ def abbreviations(text: Column) -> list[Column]:
     """Suggestions come from replacing in the match alone; rows that change nothing are dropped."""
     out = []
     for i, (word, rest, new) in enumerate(ABBREVIATIONS):
-        java = render(bounded(word) + rest, ignore_case=True)
+        # ° is no word character: a border behind it needs a letter next, and then the match alone does not change
+        java = render(bounded(word.replace("[°º]", "º")) + rest, ignore_case=True)
         change = lambda m, java=java, new=new: F.regexp_replace(m["original"], java, new)
         why = lambda m, s: F.concat(F.lit("Abreviação padronizada: '"), s, F.lit("'"))
         out.append(_rows(find_all(text, java), 100 + i, "abreviacao", "aviso", "ABREVIACAO_PADRAO", change, why, lambda r: r["sugestao"] != r["texto_original"]))
