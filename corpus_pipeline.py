@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm import byte_bpe, cotraining, mixing, simhash, substring_dedup
-from acervo.llm.common import materialize, read, rows_of
+from acervo.llm.common import mapped, materialize, read, rows_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -65,7 +65,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = docs.select(*COLUMNS).withColumn("_own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     rows = rows.join(spans, F.col("_own") == F.col("_sha"), "left").select(*COLUMNS, "spans")
     kept = docs.select(*[c for c in COLUMNS if c != "text"]).schema.add("text", "string")
-    cut = rows.mapInArrow(_cut, kept)
+    cut = rows.transform(mapped, _cut, kept)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
