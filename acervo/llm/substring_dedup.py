@@ -15,6 +15,7 @@ an anchor holds all their copies, and only anchors that occur twice matter:
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,16 +66,26 @@ def _whole_hash(raw: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _first_two(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their numbers, of each hash the first two: a text's own repeats need no more to be seen."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    third = np.zeros(len(order), bool)
+    third[2:] = ranked[2:] == ranked[:-2]
+    keep = np.sort(order[~third])
+    return hashes[keep], keep.astype(np.int32)
+
+
 def _listed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             texts = [t.encode() for t in batch.column("_text").to_pylist()]
             sha = [hashlib.sha256(t).digest() for t in texts]
-            found = [anchors(t, length)[2] for t in texts]
-            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            columns = [batch.column("doc_id"), pa.array(sha, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_bytes", "hashes"])
+            found = [_first_two(anchors(t, length)[2]) for t in texts]
+            offsets = pa.array(np.cumsum([0, *(len(h) for h, _ in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in found]), kind)) for i, kind in ((0, pa.int64()), (1, pa.int32()))]
+            columns = [batch.column("doc_id"), pa.array(sha, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_bytes", "hashes", "numbers"])
 
     return run
 
@@ -115,14 +126,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # --- segments --------------------------------------------------------------------------------------------------
-PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key long, start long, anchor long"
+PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key long, starts array<long>, anchor long"
 
 
 def _segments(length: int):
-    """For each text a row with its bytes (unless it is removed whole), and a row for each anchor's segment."""
+    """For each text a row with its bytes (unless it is removed whole), and a row for each distinct segment of its repeated anchors."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
         names = [part.split()[0] for part in PIECE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -134,10 +145,16 @@ def _segments(length: int):
                 data = text.encode()
                 first, count, hashes, places = (x.tolist() for x in anchors(data, length))
                 rows.append((sha, data if copies == 1 else None, copies, None, None, None, None, None, None))
-                for i in sorted(set(numbers)):
-                    if i < len(first):
-                        segment = data[first[i] : first[i] + count[i] + length - 1]
-                        rows.append((None, None, copies, hashes[i], segment, hashlib.sha256(segment).digest()[:16], key, first[i], places[i] - first[i]))
+                own = Counter(hashes)
+                segments: dict[bytes, list] = {}
+                for i in sorted({n for n in numbers if n < len(first)} | {n for n, h in enumerate(hashes) if own[h] > 1}):
+                    segment = data[first[i] : first[i] + count[i] + length - 1]
+                    if segment in segments:
+                        segments[segment][1].append(first[i])
+                    else:
+                        segments[segment] = [i, [first[i]]]
+                for segment, (i, starts) in segments.items():
+                    rows.append((None, None, copies, hashes[i], segment, hashlib.sha256(segment).digest()[:16], key, starts, places[i] - first[i]))
             yield batch_of(rows)
 
     return run
@@ -227,18 +244,18 @@ def _marked(length: int):
             done = []
             return out
 
-        names = ("hash", "segment_key", "segment", "n_copies", "text_key", "start", "anchor")
+        names = ("hash", "segment_key", "segment", "n_copies", "text_key", "n_starts", "anchor")
         for batch in rows_of(batches):
-            for hash_, key, segment, copies, text, start, anchor in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for hash_, key, segment, copies, text, n_starts, anchor in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if hash_ != current:
                     close_group()
                     current = hash_
                     if held >= SHARD_BYTES:
                         sort_shard()
                 if group and group[-1][1] == key:
-                    group[-1][4] |= copies > 1 or group[-1][5] != (text, start)
+                    group[-1][4] |= copies > 1 or n_starts > 1 or group[-1][5] != text
                 else:
-                    group.append([hash_, key, segment, anchor, copies > 1, (text, start)])
+                    group.append([hash_, key, segment, anchor, copies > 1 or n_starts > 1, text])
             if done:
                 yield emit()
         close_group()
@@ -279,9 +296,10 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataF
     text of length bytes or more lose all of it. Matches never cross texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
-    listed = materialize(rows.transform(mapped, _listed(length), "doc_id long, sha binary, n_bytes long, hashes array<long>"), "anchors")
+    listed = materialize(rows.transform(mapped, _listed(length), "doc_id long, sha binary, n_bytes long, hashes array<long>, numbers array<int>"), "anchors")
     texts = listed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    places = listed.select(F.xxhash64("sha").alias("text_key"), F.posexplode("hashes").alias("number", "hash"))
+    places = listed.select(F.xxhash64("sha").alias("text_key"), F.explode(F.arrays_zip("numbers", "hashes")).alias("_p"))
+    places = places.select("text_key", F.col("_p.numbers").alias("number"), F.col("_p.hashes").alias("hash"))
     places = places.repartition("hash").sortWithinPartitions("hash")
     again = places.transform(mapped, _repeated, "text_key long, number int")
     chosen = again.groupBy("text_key").agg(F.collect_list("number").alias("numbers"))
@@ -292,10 +310,10 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataF
     pieces = found.select("_text", "sha", "n_copies", "text_key", "numbers").transform(mapped, _segments(length), PIECE)
     pieces = materialize(pieces, "segments")
     segments = pieces.where("segment IS NOT NULL")
-    sorted_ = segments.select("hash", "segment_key", "segment", "n_copies", "text_key", "start", "anchor").repartition("hash").sortWithinPartitions("hash", "segment_key")
+    sorted_ = segments.select("hash", "segment_key", "segment", "n_copies", "text_key", F.size("starts").alias("n_starts"), "anchor").repartition("hash").sortWithinPartitions("hash", "segment_key")
     marks = sorted_.transform(mapped, _marked(length), "hash long, segment_key binary, first long, last long")
     marks = marks.select(F.col("hash").alias("_hash"), F.col("segment_key").alias("_key"), "first", "last")
-    windows = segments.select("hash", "segment_key", "text_key", "start").join(marks, (F.col("segment_key") == F.col("_key")) & (F.col("hash") == F.col("_hash")))
+    windows = segments.select("hash", "segment_key", "text_key", F.explode("starts").alias("start")).join(marks, (F.col("segment_key") == F.col("_key")) & (F.col("hash") == F.col("_hash")))
     windows = windows.groupBy("text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("ranges"))
     windows = windows.withColumnRenamed("text_key", "_text_key")
     bodies = pieces.where("text IS NOT NULL").select("sha", "text").withColumn("_text_key", F.xxhash64("sha"))
