@@ -8,10 +8,13 @@ row of a Parquet table, so that any store that Spark reaches can hold it; `unpac
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from acervo.llm.common import materialize, new_path, read, rows_of, whole_text
+from acervo.llm.common import mapped, materialize, new_path, read, rows_of, whole_text
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Ids that a block gathers before it is closed; a single document may make it longer.
 BLOCK_IDS = 1 << 20
-#: Encoded words that a worker remembers.
+#: Encoded pieces that a worker remembers.
 CACHE = 600_000
 MAGIC = b"ACV1"
 HEADER = struct.Struct("<4sIQQ")  # magic, documents, values, data bytes
@@ -40,21 +43,27 @@ _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    size = np.ones(len(values), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += values > limit
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = size - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    wide = int(size.max(initial=1))  # no value has more bytes
+    used = np.arange(wide, dtype=np.uint8) < size[:, None]
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
 
 
 def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    used = np.arange(4) < size[:, None]
-    out = np.zeros((n, 4), np.uint8)
-    out[used] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    end = np.cumsum(size, dtype=np.int64)
+    flat = np.frombuffer(data + bytes(4), np.uint8)
+    out = flat[end - size].astype("<u4")
+    for place in range(1, int(size.max(initial=1))):
+        more = np.flatnonzero(size > place)
+        out[more] |= flat[end[more] - size[more] + place].astype("<u4") << np.uint32(8 * place)
+    return out
 
 
 def pack(lengths: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -79,87 +88,132 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _coder(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {"": b""}
+    coder = Tokenizer.from_file(path)
+    closes = np.zeros(coder.get_vocab_size() + 1, bool)
+    closes[[i for token, i in coder.get_vocab().items() if token.endswith("</w>")]] = True
+    return coder, [{}, {}], closes
+
+
+#: A text without these has only ASCII and Latin letters, which are lower-cased one by one and are composed.
+_OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
+#: The vocabulary's pre-tokens in such a text, after lower-casing. Its blanks are space and tab to carriage return.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of the text whose ids in order are the text's: no token of this vocabulary crosses their borders.
+
+    Plain Latin text is cut into pre-tokens. Other text, or one that could hold a special token, is cut at
+    blanks, which the vocabulary drops, and the tokenizer does the rest.
+    """
+    if "<|" in text or not text.isascii() and _OTHER.search(text):
+        return text.replace("\n", " ").split(" ")
+    return _PIECE.findall(text.lower())
+
+
+def _coded(words: list[str], path: str) -> list[bytes]:
+    """The ids of distinct pieces. What was met lately is remembered, in a younger and an older half."""
+    coder, halves, closes = _coder(path)
+    width = id_bytes(path)
+    if len(halves[0]) > CACHE // 2:
+        halves[:] = [{}, halves[0]]
+    young, old = halves
+    found = list(map(young.get, words))
+    unknown = [i for i, ids in enumerate(found) if ids is None]
+    missing = []
+    for i in unknown:
+        ids = old.get(words[i])
+        if ids is None:
+            missing.append(i)
+        else:
+            found[i] = young[words[i]] = ids
+    plain = [i for i in missing if _PIECE.fullmatch(words[i])]
+    rest = [i for i in missing if not _PIECE.fullmatch(words[i])]
+    for start in range(0, len(plain), 2000):  # single pre-tokens: each ends with the one id that closes a word
+        part = plain[start : start + 2000]
+        row = np.array(coder.encode_batch_fast([[words[i] for i in part]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+        ends = ((np.flatnonzero(closes[row]) + 1) * width).tolist()
+        if len(ends) != len(part):
+            rest += part
+            continue
+        row = row.astype(f"<u{width}").tobytes()
+        for i, a, b in zip(part, [0, *ends], ends):  # noqa: B905
+            found[i] = young[words[i]] = row[a:b]
+    for start in range(0, len(rest), 2000):
+        part = rest[start : start + 2000]
+        for i, e in zip(part, coder.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+            found[i] = young[words[i]] = array("H" if width == 2 else "I", e.ids).tobytes()
+    return found
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers.
+    """The ids of each text as little-endian unsigned integers of id_bytes(path) bytes.
 
-    This vocabulary drops white space and never joins across it, so text is cut at ASCII blanks and every
-    distinct piece is encoded once; the pieces' ids in order are the text's. A full stop or comma at the end of
-    a piece is an own pre-token after a letter.
+    Pieces are numbered, each distinct one is encoded once, and numpy puts the ids of all pieces in a row.
     """
-    coder, known = _coder(path)
-    if len(known) > CACHE:
-        known.clear()
-        known[""] = b""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    missing = set().union(*split) - known.keys() if split else set()
-    base = {w[:-1] if len(w) > 1 and w[-1] in ",." and w[-2].isascii() and w[-2].isalpha() else w for w in missing}
-    base = list((base | {",", "."}) - known.keys())
-    for start in range(0, len(base), 20_000):
-        part = base[start : start + 20_000]
-        for w, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    for w in missing:
-        if w not in known:
-            known[w] = known[w[:-1]] + known[w[-1]]
-    return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Control and data bytes of ids, for the way between the steps."""
-    values = np.frombuffer(ids, "<u4")
-    return values.astype("<u2").tobytes() if not len(values) or values.max() < 1 << 16 else b"\xff" + ids
-
-
-def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u4", offset=1) if len(packed) % 2 else np.frombuffer(packed, "<u2").astype("<u4")
+    split = [pieces(t) for t in texts]
+    numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+    number = numbered.indices.to_numpy()
+    width = id_bytes(path)
+    ids = _coded(numbered.dictionary.to_pylist(), path)
+    length = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    size = length[number]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat((np.cumsum(length) - length)[number] - ends[:-1], size)
+    row = np.frombuffer(b"".join(ids), f"<u{width}")[at]
+    cuts = ends[np.cumsum([0, *map(len, split)])].tolist()
+    return [row[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+
+def id_bytes(path: str) -> int:
+    return 2 if _coder(path)[0].get_vocab_size() <= 1 << 16 else 4
 
 
 def _encode(path: str, end: int):
+    """doc_id and ids of each document; last, on a row of its own, how often each id came."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = struct.pack("<I", end)
-        for batch in rows_of(batches):
-            ids = [_narrow(x + tail) for x in encode_texts(batch.column("_text").to_pylist(), path)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "_ids"])
+        tail, kind = end.to_bytes(id_bytes(path), "little"), f"<u{id_bytes(path)}"
+        total = np.zeros(max(_coder(path)[0].get_vocab_size(), end + 1), np.int64)
+        for batch in rows_of(batches, 3 << 20):
+            ids = [x + tail for x in encode_texts(batch.column("_text").to_pylist(), path)]
+            total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "_ids", "_counts"])
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, ["doc_id", "_ids", "_counts"])
 
     return run
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in rows_of(batches):
-        for packed in batch.column("_ids").to_pylist():
-            found = np.bincount(_wide(packed))
-            if len(found) > len(total):
-                found, total = total, found.astype(np.int64)
-            total[: len(found)] += found
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
-
-
-def _blocks(ranked):
+    for batch in batches:
+        if batch.num_rows:
+            total = sum(np.frombuffer(c, np.int64) for c in batch.column("_counts").to_pylist())
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
+
+
+def _blocks(ranked, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part = ranked.value, TaskContext.get().partitionId()
         rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
         rank[ids] = np.arange(len(ids), dtype=np.uint32)
-        docs, held, size, number = [], [], 0, 0
+        docs, held, size, number, inside = [], [], 0, 0, 0
 
         def block():
             lengths = np.array([len(x) for x in held], np.uint32)
             body = pack(lengths, np.concatenate(held))
-            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "block", "doc_ids", "n_ids", "body"])
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([inside], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "block", "inside", "doc_ids", "n_ids", "body"])
 
         for batch in rows_of(batches):
             for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
-                held.append(rank[_wide(packed)])
+                held.append(rank[np.frombuffer(packed, kind)])
                 docs.append(doc)
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield block()
-                    docs, held, size, number = [], [], 0, number + 1
+                    docs, held, size, number, inside = [], [], 0, number + 1, inside + size
         if held:
             yield block()
 
@@ -174,14 +228,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end:
     """
     spark = docs.sparkSession
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
-    coded = materialize(coded.mapInArrow(_encode(vocabulary, end), "doc_id long, _ids binary"), "ids")
-    counts = coded.select("_ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    coded = materialize(coded.transform(mapped, _encode(vocabulary, end), "doc_id long, _ids binary, _counts binary"), "ids", "snappy")
+    kind = f"<u{id_bytes(vocabulary)}"
+    counts = coded.where("_counts IS NOT NULL").select("_counts").transform(mapped, _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     spark.createDataFrame([(int(i),) for i in ranks], "id long").coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(ranks)
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_ids")
-    schema = "part int, block int, doc_ids array<long>, n_ids long, body binary"
-    ordered.mapInArrow(_blocks(shared), schema).write.parquet(f"{path}/blocks")
+    ordered = coded.where("_ids IS NOT NULL").select("doc_id", "_ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_ids")
+    schema = "part int, block int, inside long, doc_ids array<long>, n_ids long, body binary"
+    ordered.transform(mapped, _blocks(shared, kind), schema).write.option("compression", "none").parquet(f"{path}/blocks")
     return spark.read.schema(schema).parquet(f"{path}/blocks")
 
 
@@ -207,13 +262,10 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # a row for each partition of the writer
     before = F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("part").alias("_part"), before.alias("_before"))
-    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("part", "block", inside.alias("_inside"))
-    starts = starts.join(parts, F.col("part") == F.col("_part")).select(F.col("part").alias("_part"), F.col("block").alias("_block"), (F.col("_before") + F.col("_inside")).alias("_start"))
-    placed = blocks.join(starts, (F.col("part") == F.col("_part")) & (F.col("block") == F.col("_block")))
+    placed = blocks.join(F.broadcast(parts), F.col("part") == F.col("_part")).withColumn("_start", F.col("_before") + F.col("inside"))
     ids = np.array([r[0] for r in spark.read.parquet(f"{path}/ranks").select("id").collect()], np.int64)
     shared = spark.sparkContext.broadcast(ids)
-    return placed.select("doc_ids", "_start", "body").mapInArrow(_decode(shared), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("doc_ids", "_start", "body").transform(mapped, _decode(shared), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
