@@ -37,13 +37,15 @@ def _entity(number: int, kind: str, masked: bool, mask_original: bool):
     return row
 
 
-def pattern_entities(text: Column, masked: bool = True, mask_original: bool = False) -> Column:
+def pattern_entities(text: Column, masked: bool = True, mask_original: bool = False, kinds: tuple[str, ...] | None = None) -> Column:
     """All matches of all patterns; ord is the pattern's place and pos the match's, which decide ties.
 
     Masking covers valor; the matched text stays as it is unless mask_original asks for more.
     """
     parts = []
     for number, (kind, pattern, ignore_case, borders) in enumerate(ENTITY_PATTERNS):
+        if kinds and kind not in kinds:
+            continue
         java = render(bounded(pattern) if borders else pattern, ignore_case)
         grouped = "(" in pattern.replace("(?:", "")
         parts.append(F.transform(find_all(text, java, 1 if grouped else None), _entity(number, kind, masked, mask_original)))
@@ -88,14 +90,17 @@ def deduplicated(found: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(f"array<{ENTITY}>"), merge)
 
 
-def entities(text: Column, masked: bool = True) -> Column:
-    """Pattern entities and themes without duplicates, in order of start."""
-    return deduplicated(F.concat(pattern_entities(text, masked), themes(text)))
+def entities(text: Column, masked: bool = True, kinds: tuple[str, ...] | None = None) -> Column:
+    """Pattern entities and themes without duplicates, in order of start; kinds names the only types to look for."""
+    parts = [pattern_entities(text, masked, kinds=kinds)] if not kinds or set(kinds) != {"tema_juridico"} else []
+    if not kinds or "tema_juridico" in kinds:
+        parts.append(themes(text))
+    return deduplicated(F.concat(*[p.cast(f"array<{ENTITY}>") for p in parts]))
 
 
-def extract(docs: DataFrame, masked: bool = True) -> DataFrame:
+def extract(docs: DataFrame, masked: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each entity of docs (doc_id, text), with its number in the document."""
-    found = docs.select("doc_id", F.posexplode(entities(F.coalesce("text", F.lit("")), masked)).alias("n", "e"))
+    found = docs.select("doc_id", F.posexplode(entities(F.coalesce("text", F.lit("")), masked, kinds)).alias("n", "e"))
     return found.select("doc_id", F.col("n").cast("long").alias("n"), "e.tipo", "e.valor", "e.texto_original", F.col("e.ini").cast("long").alias("ini"), F.col("e.fim").cast("long").alias("fim"), "e.confianca", "e.area")
 
 

@@ -25,7 +25,7 @@ def counted(parts: str) -> str:
 
 def spans(table: str, pattern: str, group: int = 0, lead: bool = False, tail: bool = False, where: str = "true") -> str:
     """doc_id, pos, ini, original, valor of all matches; lead and tail: the pattern has a non-word character there that does not count."""
-    value = f"CASE WHEN v[i] = '' THEN m[i] ELSE v[i] END" if group else "m[i]"
+    value = "CASE WHEN coalesce(v[i], '') = '' THEN m[i] ELSE v[i] END" if group else "m[i]"
     inner = (
         f"SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, v, gaps FROM (SELECT doc_id, regexp_extract_all(text, {sql(pattern)}, 0) AS m, "
         f"regexp_extract_all(text, {sql(pattern)}, {group}) AS v, regexp_split_to_array(text, {sql(pattern)}) AS gaps FROM {table} WHERE regexp_matches(text, {sql(pattern)}))"

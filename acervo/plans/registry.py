@@ -195,7 +195,7 @@ def confidence(spark, sf_dir):
 # --- entities --------------------------------------------------------------------------------------------------
 def _entity_kind(kind: str) -> Query:
     def run(spark, sf_dir):
-        return entities.extract(fx.legal(spark, sf_dir)).where(F.col("tipo") == kind).drop("n")
+        return entities.extract(fx.legal(spark, sf_dir), kinds=(kind,)).drop("n")
 
     return run
 
@@ -209,11 +209,11 @@ def entities_documents(spark, sf_dir):
 
 
 def entities_themes(spark, sf_dir):
-    return entities.extract(fx.legal(spark, sf_dir)).where("tipo = 'tema_juridico'").drop("n")
+    return entities.extract(fx.legal(spark, sf_dir), kinds=("tema_juridico",)).drop("n")
 
 
 def entities_masked(spark, sf_dir):
-    rows = entities.extract(fx.legal(spark, sf_dir)).where("tipo IN ('cpf', 'cnpj')")
+    rows = entities.extract(fx.legal(spark, sf_dir), kinds=("cpf", "cnpj"))
     return rows.select("doc_id", "tipo", "valor", (F.length(F.regexp_replace("valor", r"\P{Nd}", ""))).cast("long").alias("shown"))
 
 
