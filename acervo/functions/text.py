@@ -18,9 +18,8 @@ def tokenize(text: Column, stopwords: list[str] = STOPWORDS, words: str = WORDS)
 
     Replacing what is neither a word character nor blank by blanks and splitting at blanks gives just these runs.
     """
-    drop = F.array(*[F.lit(w) for w in stopwords])
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(words), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(drop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(stopwords))
 
 
 def rerank_tokens(text: Column) -> Column:
