@@ -113,7 +113,7 @@ def rules() -> list[Rule]:
         for i, body in enumerate(addresses):
             found.append(_rule("address", label, i, f" {body.split()[0]} ", body))
         for i, body in enumerate(names):
-            found.append(_rule("grant", label, i, "d under ", f"{GRANT}{body}(?: licen[sc]e)?"))
+            found.append(_rule("grant", label, i, " under ", f"{GRANT}{body}(?: licen[sc]e)?"))
             if not body.endswith("license"):
                 found.append(_rule("title", label, i, " licen", f"{body} licen[sc]e"))
             if alone:

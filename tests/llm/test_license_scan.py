@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from acervo.llm.license_rules import rules
+from acervo.llm.license_rules import GRANT, rules
 from acervo.llm.license_scan import GATE, PHRASES, scan
 
 RULES = rules()
@@ -80,3 +80,13 @@ def test_priority_and_containment(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_grant_verb(spark):
+    verbs = re.match(r"\(\?:([^()]*)\) under ", GRANT)[1].replace("licen[sc]ed", "licensed|licenced").split("|")
+    assert "available" in verbs
+    names = ["GNU General Public License", "LGPL", "ISC"]  # neither a title nor, but for LGPL, a bare name
+    texts = [f"It is {verb} under {the}{name}." for verb in verbs for the in ("", "the ", "the terms of the ") for name in names]
+    for row in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("detections").collect():
+        assert tuple(row)[1:] == plain(texts[row.doc_id]), texts[row.doc_id]
+        assert row.labels and row.score == pytest.approx(0.9), texts[row.doc_id]
