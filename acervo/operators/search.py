@@ -7,6 +7,8 @@ them. Ranks come from a window that keeps k rows a query before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from acervo.operators.index import Index
 
 K1, B = 1.5, 0.75
 ALPHA, RRF_K = 0.5, 60
+#: Rows of a block of vectors and of a block of queries in nearest_of_many, about.
+VECTORS, QUERIES = 4096, 1024
+NEAREST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -95,3 +100,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("vector"), F.col("embedding")).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _best_of_block(k: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("vec_id")  # a stable sort by score then leaves ties in this order
+        ids = [vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()]
+        if not len(ids[0]) or not len(ids[1]):
+            return NEAREST.empty_table()
+        sides = []
+        for table, name in ((vectors, "embedding"), (queries, "vector")):
+            side = np.array(table.column(name).to_pylist(), np.float64)
+            length = np.linalg.norm(side, axis=1, keepdims=True)
+            sides.append(np.divide(side, length, out=np.zeros_like(side), where=length > 0))
+        scores = np.round(sides[1] @ sides[0].T, 9) + 0.0
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = [np.repeat(ids[1], best.shape[1]), ids[0][best.ravel()], np.take_along_axis(scores, best, 1).ravel()]
+        return pa.table(found, schema=NEAREST)
+
+    return run
+
+
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As nearest, for any number of queries: every block of queries meets every block of vectors in a task of its own.
+
+    Scores are cut at nine digits before ranking; rows without a vector neither ask nor are found.
+    """
+    vectors, queries = vectors.where("embedding IS NOT NULL"), queries.where("vector IS NOT NULL")
+    n, asked = -(-vectors.count() // VECTORS) or 1, -(-queries.count() // QUERIES) or 1
+    place = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = vectors.select(place("vec_id", n).alias("vb"), every(asked).alias("qb"), "vec_id", "embedding")
+    right = queries.select(every(n).alias("vb"), place("query_id", asked).alias("qb"), "query_id", "vector")
+    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -166,6 +166,13 @@ def embedding_knn(spark, sf_dir):
     return rounded(search.nearest(vectors, one, 10), "score")
 
 
+def embedding_knn_many(spark, sf_dir):
+    """Every row whose id is divisible by 20 asks all rows."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    many = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(search.nearest_of_many(vectors, many, 10), "score")
+
+
 def _reranked(spark, sf_dir, k: int) -> DataFrame:
     found, corpus = _index(spark, sf_dir, legal=True)
     q = fx.questions(spark)
@@ -352,7 +359,7 @@ def queries() -> dict[str, Query]:
         for f in (
             tokenize, rerank_tokenize, bigrams, stopword_anti_join, html_functions, short_forms, entity_classes, utf8_source, knowledge_base, added_documents,
             term_frequency, document_frequency, bm25_idf, index_stats, tfidf_vocab, tfidf_vectors,
-            bm25_topk, bm25_batch, bm25_zero_tie_order, cosine_topk, embedding_knn, rerank_features, rerank_topk, rerank_explain, confidence,
+            bm25_topk, bm25_batch, bm25_zero_tie_order, cosine_topk, embedding_knn, embedding_knn_many, rerank_features, rerank_topk, rerank_explain, confidence,
             entities_all, entities_documents, entities_themes, entities_masked, entity_summary, cross_references,
             grammar_documents, corrected_text, correction_summary, severity_counts,
             chunk_segments, chunk_structural, chunk_split, chunk_by_article, chunk_simple, document_analysis, consult, history_last20,
@@ -406,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_alpha0": o.with_(o.index_ctes("documents"), o.search_ctes(BENCH), o.hybrid(5, 0.0)) + fused,
         "hybrid_alpha1": o.with_(o.index_ctes("documents"), o.search_ctes(BENCH), o.hybrid(5, 1.0)) + fused,
         "embedding_knn": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
+        "embedding_knn_many": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
         "rerank_features": f"{reranked}SELECT query_id, doc_idx, {r(*lx.FEATURE_WEIGHTS)} FROM scored",
         "rerank_topk": f"{reranked}SELECT query_id, doc_idx, {r('score_reranked')}, rk AS rank FROM ({top(5)})",
         "confidence": f"{reranked}SELECT query_id, confianca, CASE WHEN confianca > 0.7 THEN 'alta' WHEN confianca > 0.4 THEN 'média' ELSE 'baixa' END AS nivel FROM (SELECT query_id, round(least(1.0::DOUBLE, avg(score_reranked) * 5), {DIGITS}) AS confianca FROM ({top(5)}) GROUP BY query_id)",

@@ -3,10 +3,12 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from acervo.operators import assistant, client, index, rerank, search
+from acervo.plans import registry
 from acervo.sources import files, knowledge
 from acervo.streaming import ingest
 
@@ -122,3 +124,27 @@ def test_arriving_files(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("peticao,,")
     ingest.write_analyzed(ingest.arriving_texts(spark, str(tmp_path / "in")), grammar.correct, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [r.texto_corrigido for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["petição,"]
+
+
+@pytest.mark.parametrize(("vectors", "queries"), [(4096, 1024), (37, 5)])
+def test_every_asked_vector(spark, monkeypatch, vectors, queries):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(search, "VECTORS", vectors)
+    monkeypatch.setattr(search, "QUERIES", queries)
+    got = registry.queries()["embedding_knn_many"](spark, sf).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    result = con.execute(registry.oracle_sql()["embedding_knn_many"])
+    names = [d[0] for d in result.description]
+    expected = [tuple(r[names.index(n)] for n in ("query_id", "vec_id", "score", "rank")) for r in result.fetchall()]
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got) == sorted(expected)
+    assert {r.query_id for r in got} == set(range(0, 500, 20)) and len(got) == 250
+
+
+def test_nearest_of_many_ties_and_gaps(spark):
+    rows = [(9, [1.0, 0.0]), (4, [2.0, 0.0]), (7, [0.0, 0.0]), (5, None), (1, [-1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = search.nearest_of_many(vectors, asked.where("vec_id IN (9, 5)"), 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(9, 1, 4, 1.0), (9, 2, 9, 1.0), (9, 3, 7, 0.0)]
+    assert search.nearest_of_many(vectors, asked.limit(0), 3).count() == 0
