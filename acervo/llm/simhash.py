@@ -212,10 +212,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return ordered.transform(mapped, _met, "a long, b long")
 
 
-def classes(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def classes(rows: DataFrame, id_column: str = "doc_id", root: bool = False) -> DataFrame:
     """rows (with _fp) and component_id: the smallest id that links reach, itself included.
 
-    Equal fingerprints are linked. Null ids are never a component's id unless it has no other.
+    Equal fingerprints are linked. Null ids are never a component's id unless it has no other. Where an id stands
+    in several components they can have it in common; _root, which root adds, tells them apart.
     """
     rows = materialize(rows, "fingerprints")
     distinct = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_column).alias("_least"))
@@ -223,7 +224,7 @@ def classes(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     placed = materialize(placed, "roots")
     least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = placed.join(least, "_root").select("fp", "component_id")
+    named = placed.join(least, "_root").select("fp", "component_id", *["_root"] * root)
     return rows.join(named, F.col("_fp") == F.col("fp")).drop("fp")
 
 

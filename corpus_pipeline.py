@@ -30,10 +30,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash links the document with the least doc_id; a document without doc_id stays."""
-    found = simhash.classes(simhash.fingerprints(docs.where("doc_id IS NOT NULL")))
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of SimHash links the document with the least doc_id; a document without doc_id stays.
+
+    A doc_id may repeat. Its texts that are not linked are groups of their own and each stays; of a group's rows with
+    the least doc_id the one with the least digest of all its columns stays, however the rows are dealt out.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(*COLUMNS)), 256)))
+    rows = rows.where("doc_id IS NOT NULL")
+    found = simhash.classes(simhash.fingerprints(rows, keep=("doc_id", "_row")), root=True)
+    stay = found.where("doc_id = component_id").groupBy("_root").agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select("_least.*")
+    named = rows.join(stay, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -91,3 +91,18 @@ def test_nulls_and_nothing(spark):
             result = stage(spark, docs, SF)
             docs = spark.createDataFrame(result.collect(), result.schema)
         docs.count()
+
+
+def test_repeated_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    one, two, three = (" ".join(f"{w}{i * i}" for i in range(80)) for w in ("a", "b", "c"))
+    rows = [(2, one, "en", "s", 5), (2, two, "en", "s", 5), (2, one, "en", "s", 5), (2, two, "de", "t", 5), (3, one, "en", "s", 5), (3, three, "en", "s", 5), (4, three, "en", "s", 5)]
+    prints = [simhash.fingerprint(t) for t in (one, two, three)]
+    assert all((a ^ b).bit_count() > 3 for a in prints for b in prints if a != b)
+    results = set()
+    for parts in (1, 3, 7):
+        for dealt in (rows, rows[::-1]):
+            kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(dealt, schema).repartition(parts), SF).collect()
+            assert sorted((r.doc_id, r.text) for r in kept) == sorted([(2, one), (2, two), (3, three)])
+            results.add(tuple(sorted(map(tuple, kept))))
+    assert len(results) == 1
