@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,25 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def kept(keep: tuple[str, ...], results: tuple[str, ...]) -> tuple[str, ...]:
+    """The caller's columns that an operator passes on, each once.
+
+    One rule for all operators: a kept column with the name of a result column gives way to the result, and names
+    that begin with "_" are the operators' own, so keeping one is an error. Columns that are not kept never clash.
+    """
+    own = [c for c in keep if c.startswith("_")]
+    if own:
+        raise ValueError(f"names that begin with _ are the operators' own: {own}")
+    return tuple(dict.fromkeys(c for c in keep if c not in results))
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="acervo-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -36,34 +57,56 @@ def shared_folder(spark: SparkSession) -> str:
     its own (as in tests); a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="acervo-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_folder()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can reach it; one that is gone is no error."""
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def setting_bytes(value: str) -> int:
+    """A size setting in bytes: "64m" is 64 MiB; -1 (no bound) is as large as can be."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", value.lower()).groups()
+    return int(number) * _UNITS[unit] if int(number) >= 0 else 1 << 62
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow, with Arrow batches of a bounded size: very long texts do not add up in a worker.
 
-    The bound is the session's spark.sql.execution.arrow.maxBytesPerBatch, which is lowered to BATCH_BYTES.
+    The bound is the session's spark.sql.execution.arrow.maxBytesPerBatch, which is lowered to BATCH_BYTES. Spark
+    reads it when the plan runs, so it stays lowered.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"\d+", df.sparkSession.conf.get(key))[0]) > BATCH_BYTES:
+    if setting_bytes(df.sparkSession.conf.get(key)) > BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """The same rows, reread from a table in the shared folder: lineage ends here, and lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,9 +116,15 @@ def materialize_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFra
     path = new_path(df.sparkSession, label)
     name = path.rpartition("/")[2].replace("-", "_")
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name, format="parquet")
+    atexit.register(_drop, df.sparkSession, name)
     return df.sparkSession.table(name)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that none is much over limit_bytes unless a single row is; this bounds what a worker holds."""
     for batch in batches:

@@ -109,7 +109,7 @@ def test_byte_bpe_round_trip(docs, rows, nothing, monkeypatch):
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------
-def test_cotraining_held_out(spark, nothing):
+def taught_rows():
     rng = random.Random(5)
     rows, labels = [], []
     for i in range(900):
@@ -120,22 +120,102 @@ def test_cotraining_held_out(spark, nothing):
         rows.append((i, text, "en", "s1" if good == (rng.random() < 0.8) else "s2", len(text), 1, "x", "y"))
         if i < 500:
             labels.append((i, int(good), None if i % 50 else 1))
+    return rows, labels
+
+
+def test_cotraining_held_out(spark, nothing):
+    rows, labels = taught_rows()
     docs = spark.createDataFrame(rows, SCHEMA)
     known = spark.createDataFrame(labels, "doc_id long, quality int, other int")
-    model = cotraining.learn(docs, known, labelled=300, pool=200)
+    model = cotraining.learn(docs, known)
     found = {r.doc_id: r.kept for r in cotraining.score(docs, model).collect()}
     truth = {r[0]: r[1].islower() and "#" not in r[1] and "$" not in r[1] for r in rows}
     assert np.mean([found[i] == truth[i] for i in range(500, 900)]) > 0.97
-    again = cotraining.learn(docs.repartition(3), known, labelled=300, pool=200)
+    again = cotraining.learn(docs.repartition(3), known)
     assert {r.doc_id: r.kept for r in cotraining.score(docs, again).collect()} == found
     assert cotraining.score(nothing, model).count() == 0
 
 
+def plain_line(z, y, ridge):
+    """Platt's line, row by row."""
+    z = np.column_stack([z, np.ones(len(z))])
+    aim = np.where(y > 0, (sum(y > 0) + 1) / (sum(y > 0) + 2), 1 / (sum(y < 0) + 2))
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.clip(np.linalg.solve((z.T * (p * (1 - p))) @ z + ridge * np.eye(len(w)), z.T @ (aim - p) - ridge * w), -2, 2)
+    return w
+
+
+def plain_model(z, y, weight):
+    mean, level = np.average(z, axis=0, weights=weight), np.average(y, weights=weight)
+    scale = np.sqrt(np.average((z - mean) ** 2, axis=0, weights=weight)) + 0.01
+    unit, share = (z - mean) / scale, weight / weight.sum()
+    w = np.linalg.solve((unit.T * share) @ unit + cotraining.RIDGE * np.eye(z.shape[1]), unit.T @ (share * (y - level)))
+    return lambda rows: np.clip((rows - mean) / scale @ w + level, -cotraining.REACH, cotraining.REACH)
+
+
+def plain_cotraining(x, m, y, held):
+    """The rounds over whole matrices: y is 1, -1 or 0 (no label)."""
+    taught, spare = (y != 0) & ~held, y == 0
+    views, lessons = (x, m), [(taught, y.astype(float), np.ones(len(y)))] * 2
+    for number in range(cotraining.ROUNDS + 1):
+        models = [plain_model(v[on], t[on], w[on]) for v, (on, t, w) in zip(views, lessons, strict=True)]
+        lines = [plain_line(f(v[held])[:, None], y[held], 1e-3) for v, f in zip(views, models, strict=True)]
+        logits = [line[0] * f(v) + line[1] for v, f, line in zip(views, models, lines, strict=True)]
+        if number == cotraining.ROUNDS:
+            break
+        lessons = []
+        for other in (logits[1], logits[0]):
+            p = 1 / (1 + np.exp(-other))
+            given = spare & (np.maximum(p, 1 - p) >= cotraining.SURE)
+            weight = np.where(given, min(1, taught.sum() / max(given.sum(), 1)), 1.0)
+            lessons.append((taught | given, np.where(given, np.where(p > 0.5, 1.0, -1.0), y), weight))
+    both = plain_line(np.column_stack(logits)[held], y[held], 1e-2)
+    return 1 / (1 + np.exp(-(both[0] * logits[0] + both[1] * logits[1] + both[2])))
+
+
+def test_cotraining_plainly(spark):
+    rows, labels = taught_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, other int")
+    found = {r.doc_id: r.score for r in cotraining.score(docs, cotraining.learn(docs, known)).collect()}
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {cotraining.FOLDS})").collect()}
+    label = {d: 2 * q - 1 for d, q, _ in labels}
+    x = np.array([cotraining.text_view(r[1]) for r in rows], float)
+    m = np.array([cotraining.meta_view(("source", "lang", "n_chars"), (r[3], r[2], r[4])) for r in rows], float)
+    y = np.array([label.get(r[0], 0) for r in rows])
+    expected = plain_cotraining(x, m, y, np.array([fold[r[0]] == 0 for r in rows]) & (y != 0))
+    got = np.array([found[r[0]] for r in rows])
+    assert np.abs(got - expected).max() < 0.02  # the histogram's steps
+
+
+def test_text_view():
+    text = "ab ab\nab ab"
+    view = cotraining.text_view(text)
+    assert view[ord("a")] == round(255 * (4 / 11) ** 0.5) and view[-4:].tolist() == [round(255 * 3 / 4), round(255 * 3 / 4), round(255 * 11 / 4 / 50), round(255 / 2)]
+    grams = np.zeros(256)
+    for i in range(8):
+        grams[int.from_bytes(text.encode()[i : i + 4], "little") * 2654435761 % 2**32 >> 24] += 1
+    assert view[256:512].tolist() == np.rint(255 * np.sqrt(grams / 8)).tolist() and not cotraining.text_view("").any()
+
+
 def test_cotraining_without_lessons(spark, docs, nothing):
-    labels = spark.createDataFrame([(1, 1), (2, None), (999, 0)], "doc_id long, quality int")
-    rows = cotraining.score(docs, cotraining.learn(docs, labels)).collect()
-    assert len(rows) == docs.count() and all(r.kept and r.score == 1 for r in rows)
-    assert cotraining.score(nothing, cotraining.learn(nothing, labels)).count() == 0
+    none = spark.createDataFrame([(2, None), (999, 0)], "doc_id long, quality int")
+    rows = cotraining.score(docs, cotraining.learn(docs, none)).collect()
+    assert len(rows) == docs.count() and all(r.kept and r.score == 0.5 for r in rows)
+    assert cotraining.score(nothing, cotraining.learn(nothing, none)).count() == 0
+    one = spark.createDataFrame([(1, 1), (1, 0), (3, 1)], "doc_id long, quality int")
+    assert cotraining.score(docs, cotraining.learn(docs, one)).count() == docs.count()
+
+
+def test_cotraining_with_clashing_columns(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    table = docs.withColumns({"score": docs.size, "x": docs.size})
+    found = cotraining.score(table, cotraining.learn(table, none), keep=("doc_id", "score", "x", "text"))
+    assert found.columns == ["doc_id", "x", "text", "text_score", "meta_score", "score", "kept"] and found.first().score == 0.5
+    with pytest.raises(ValueError, match="begin with _"):
+        cotraining.score(table, cotraining.learn(table, none), keep=("_id",))
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------
