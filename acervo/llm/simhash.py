@@ -9,7 +9,8 @@ that both have without the bit. What meets is verified by its whole Hamming dist
 Only distinct fingerprints are indexed. What meets under one value is not turned into all pairs: a task holds
 the value's fingerprints in blocks, verifies block against block and keeps the links of a spanning forest. A
 value that very many fingerprints share is first split by the bytes of the other segment, of which any two
-linked fingerprints have one in common.
+linked fingerprints have one in common, and then into parts by hash, every two of which meet in a task: no task
+holds more than some multiple of SPLIT fingerprints, whatever the value.
 """
 
 from __future__ import annotations
@@ -23,25 +24,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import WORD, mapped, materialize, read, rows_of, whole_text
+from acervo.llm.common import WORD, kept, mapped, materialize, read, rows_of, whole_text
 from acervo.llm.components import components
 
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
-#: Fingerprints under one index value from which on it is split by the other segment's bytes.
+#: Fingerprints under one index value from which on it is split by the other segment's bytes, and those of a part.
 SPLIT = 20_000
+PART = 160_000
 #: Side of the blocks that are compared at a time.
 BLOCK = 1024
 
 _WORD = re.compile(WORD.encode())
-_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 # --- fingerprints ----------------------------------------------------------------------------------------------
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats counted."""
-    words = text.encode().translate(_UPPER).split()  # bytes: splits at ASCII blanks alone
+    words = text.encode().translate(LOWER).split()  # bytes: splits at ASCII blanks alone
     if not words:
         return 0
     whole = b" ".join(words)
@@ -67,7 +69,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns with _fp (the fingerprint as a signed long); a null text is empty and has zero."""
+    """keep's columns with _fp (the fingerprint as a signed long); a null text is empty and has zero.
+
+    Clashing names follow common.kept.
+    """
+    keep = kept(keep, ())
     schema = docs.select(*keep).schema.add("_fp", "long")
     return docs.select(*keep, whole_text(text).alias("_text")).transform(mapped, _fingerprints, schema)
 
@@ -204,10 +210,16 @@ def links(distinct: DataFrame) -> DataFrame:
     index = distinct.select("fp").transform(mapped, _variants, "value long, fp long, own boolean")
     index = materialize(index, "variants")
     counts = index.groupBy("value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("any_own AND n > 1")
-    index = index.join(counts.select("value", (F.col("n") > SPLIT).alias("hot")), "value")
+    counts = counts.select("value", (F.col("n") > SPLIT).alias("hot"), F.ceil(F.col("n") / PART).cast("int").alias("_parts"))
+    index = index.join(counts, "value")
     other = F.when(F.col("value") < 1 << 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit((1 << 32) - 1))
     split = F.array(*[(F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255)) + 1 + 256 * i).cast("int") for i in range(4)])
-    index = index.select("value", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0)))).alias("part"), "fp", "own")
+    index = index.withColumn("_byte", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0)))))
+    # a part's rows go wherever it meets another part
+    own = F.pmod(F.xxhash64("fp"), "_parts").cast("int")
+    index = index.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_own", own)
+    meeting = F.least("_own", "_with").cast("long") * (1 << 20) + F.greatest("_own", "_with")
+    index = index.select("value", (meeting * 2048 + F.col("_byte")).alias("part"), "fp", "own")
     ordered = index.repartition("value", "part").sortWithinPartitions("value", "part", F.desc("own"), "fp")
     return ordered.transform(mapped, _met, "a long, b long")
 
@@ -215,17 +227,17 @@ def links(distinct: DataFrame) -> DataFrame:
 def classes(rows: DataFrame, id_column: str = "doc_id", root: bool = False) -> DataFrame:
     """rows (with _fp) and component_id: the smallest id that links reach, itself included.
 
-    Equal fingerprints are linked. Null ids are never a component's id unless it has no other. Where an id stands
+    A column component_id of rows is replaced. Equal fingerprints are linked. Null ids are never a component's id unless it has no other. Where an id stands
     in several components they can have it in common; _root, which root adds, tells them apart.
     """
-    rows = materialize(rows, "fingerprints")
+    rows = materialize(rows.drop("component_id", "_root"), "fingerprints")
     distinct = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_column).alias("_least"))
     roots = components(links(distinct))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     placed = materialize(placed, "roots")
     least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = placed.join(least, "_root").select("fp", "component_id", *["_root"] * root)
-    return rows.join(named, F.col("_fp") == F.col("fp")).drop("fp")
+    named = placed.join(least, "_root").select(F.col("fp").alias("_named"), "component_id", *["_root"] * root)
+    return rows.join(named, F.col("_fp") == F.col("_named")).drop("_named")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from acervo.llm import cotraining, mixing, simhash
+from acervo.llm import cotraining, mixing
+from test_near_copies import groups_of, plain_shingles, plain_similarity
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,16 +36,12 @@ def test_quality(spark, stages):
 
 def test_one_of_each_group(stages):
     before, after = stages[1], stages[2]
-    prints = {d: simhash.fingerprint(t) for d, t in zip(before.doc_id, before.text, strict=True)}
-    group = {d: d for d in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] > group[b]:
-                    group[a], changed = group[b], True
-    assert set(after.doc_id) == set(group.values())
+    texts = before.text.fillna("").tolist()
+    _, root = groups_of(texts, 0.8)
+    least = {}
+    for d, r in zip(before.doc_id, root, strict=True):
+        least[r] = min(d, least.get(r, d))
+    assert set(after.doc_id) == set(least.values())
     assert list(after.columns) == list(corpus_pipeline.COLUMNS)
 
 
@@ -97,8 +94,8 @@ def test_repeated_ids(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     one, two, three = (" ".join(f"{w}{i * i}" for i in range(80)) for w in ("a", "b", "c"))
     rows = [(2, one, "en", "s", 5), (2, two, "en", "s", 5), (2, one, "en", "s", 5), (2, two, "de", "t", 5), (3, one, "en", "s", 5), (3, three, "en", "s", 5), (4, three, "en", "s", 5)]
-    prints = [simhash.fingerprint(t) for t in (one, two, three)]
-    assert all((a ^ b).bit_count() > 3 for a in prints for b in prints if a != b)
+    sets = [plain_shingles(t) for t in (one, two, three)]
+    assert all(plain_similarity(a, b) < 0.5 for a in sets for b in sets if a is not b)
     results = set()
     for parts in (1, 3, 7):
         for dealt in (rows, rows[::-1]):
