@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm import byte_bpe, cotraining, mixing, simhash, substring_dedup
+from acervo.llm import byte_bpe, cotraining, mixing, near_copies, substring_dedup
 from acervo.llm.common import mapped, materialize, read, rows_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,23 +23,27 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject; it learns from the labels of this table's documents."""
+    """Documents that the co-trained classifier does not reject; it learns from the labels of this table's documents.
+
+    Null and empty texts are scored like others; without labels every document stays. Repeated rows stay repeated.
+    """
     model = cotraining.learn(docs, read(spark, sf_dir, "labels"))
     scored = cotraining.score(docs, model, keep=COLUMNS)
     return scored.where("kept").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash links the document with the least doc_id; a document without doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the least doc_id.
 
-    A doc_id may repeat. Its texts that are not linked are groups of their own and each stays; of a group's rows with
-    the least doc_id the one with the least digest of all its columns stays, however the rows are dealt out.
+    A document without doc_id stays. A doc_id may repeat: its texts that are not linked are groups of their own and
+    each stays; of a group's rows with the least doc_id the one with the least digest of all its columns stays,
+    however the rows are dealt out.
     """
-    rows = docs.select(*COLUMNS).withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(*COLUMNS)), 256)))
+    rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.sha2(F.to_json(F.struct(*COLUMNS)), 256)))
     rows = rows.where("doc_id IS NOT NULL")
-    found = simhash.classes(simhash.fingerprints(rows, keep=("doc_id", "_row")), root=True)
-    stay = found.where("doc_id = component_id").groupBy("_root").agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select("_least.*")
-    named = rows.join(stay, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+    found = near_copies.classes(rows, keep=("doc_id", "digest"))
+    stay = found.groupBy("_root").agg(F.min(F.struct("doc_id", "digest")).alias("_least")).select("_least.*")
+    named = rows.join(stay, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
@@ -76,13 +80,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix starts it; the document at a source's cut stays whole."""
+    """Every document as often as the mix starts it; the document at a source's cut stays whole.
+
+    A null source is a source of its own; a document without words is in no mix. Equal rows are interchangeable.
+    """
     mixed = mixing.mix(docs, keep=COLUMNS).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row, with the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens and ids of every row, with the digests of the ids and of what they decode to.
+
+    Null and empty texts have no ids; repeated rows stay repeated rows.
+    """
     vocabulary = public_tokenizers.path(byte_bpe.VOCABULARY)
     both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
     return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
