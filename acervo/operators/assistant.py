@@ -100,13 +100,13 @@ def stamped(records: DataFrame) -> DataFrame:
 def analyze(docs: DataFrame, source: Column | None = None) -> DataFrame:
     """One record for each text of docs (doc_id, text): chunks, entities, corrections, references and summaries."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("_t"), (F.lit("") if source is None else source).alias("fonte"))
-    rows = rows.select("doc_id", "_t", "fonte", entities.entities(F.col("_t")).alias("entidades"), grammar.corrections(F.col("_t")).alias("correcoes"))
+    fonte = F.coalesce(F.lit("") if source is None else source, F.lit(""))
+    chunk = lambda c, i: F.struct(chunking.chunk_id(i).alias("chunk_id"), *[c[x].alias(x) for x in ("tipo", "conteudo", "hierarquia", "tamanho")])
+    rows = docs.select("doc_id", text.alias("_t"), fonte.alias("fonte"), F.transform(chunking.chunk_array(text, fonte), chunk).alias("chunks"), entities.references(text).alias("referencias_cruzadas"))
+    rows = rows.select("doc_id", "_t", "fonte", F.size("chunks").cast("long").alias("num_chunks"), "chunks", "referencias_cruzadas", entities.entities(F.col("_t")).alias("entidades"), grammar.corrections(F.col("_t")).alias("correcoes"))
     rows = rows.select("*", grammar.edited(F.col("_t"), F.col("correcoes")).alias("texto_corrigido"))
     rows = rows.withColumn("resumo_entidades", counted(F.transform("entidades", lambda e: e["tipo"]))).withColumn("por_tipo", counted(F.transform("correcoes", lambda c: c["tipo"]))).withColumn("por_severidade", counted(F.transform("correcoes", lambda c: c["severidade"]))).drop("_t")
-    chunks = chunking.structural_chunks(docs, source).groupBy("doc_id").agg(F.count("*").alias("num_chunks"), F.array_sort(F.collect_list(F.struct("chunk_id", "tipo", "conteudo", "hierarquia", "tamanho"))).alias("chunks"))
-    references = entities.reference_map(entities.cross_references(docs)).withColumnRenamed("referencias", "referencias_cruzadas")
-    return rows.join(chunks, "doc_id", "left").join(references, "doc_id", "left").withColumn("num_chunks", F.coalesce("num_chunks", F.lit(0)))
+    return rows
 
 
 def counted(names: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acervo.functions.folds import let, scan
 from acervo.functions.lexicons import STRUCTURE
 from acervo.functions.regexes import S, render
 from acervo.functions.text import context, strip
@@ -33,8 +34,38 @@ def line_reference(line: Column, kind: Column) -> Column:
     return out
 
 
-def _between(low: int, high: int):
-    return lambda m: (m["level"] > low) & (m["level"] < high)
+SEGMENT = "array<struct<seg:int,tipo:string,conteudo:string,hierarquia:array<string>,linha:int>>"
+
+
+def _segments(text: Column, source: Column) -> Column:
+    """The segments of a text, in order; seg counts boundaries, so it has gaps where blank ones are left out."""
+    names = F.array(*[F.lit(x) for x in LEVELS])
+    level = lambda line: F.array_position(names, F.coalesce(line_type(line), F.lit(""))).cast("int")
+    first = F.struct(F.lit(0).alias("line"), F.lit(0).alias("level"), F.lit("").alias("text"))
+    none = F.lit(None).cast("string")
+    start = F.struct(*[none.alias(x) for x in LEVELS])
+
+    def of_lines(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("line"), level(line).alias("level"), line.alias("text"))), lambda m: m["level"] > 0)
+        return let(F.concat(F.array(first), marked), lambda opened: of_marks(lines, opened))
+
+    def of_marks(lines: Column, opened: Column) -> Column:
+        def row(m: Column, k: Column) -> Column:
+            kind = F.get(names, m["level"] - 1)
+            label = F.when(m["level"] > 0, F.concat(F.initcap(kind), F.lit(" "), line_reference(m["text"], kind)))
+            stop = F.coalesce(F.get(opened, k + 1)["line"], F.size(lines))
+            body = strip(F.array_join(F.slice(lines, m["line"] + 1, stop - m["line"]), "\n"))
+            return F.struct(k.alias("seg"), m["level"].alias("level"), label.alias("label"), F.coalesce(kind, F.lit("texto_livre")).alias("tipo"), body.alias("conteudo"), m["line"].alias("linha"))
+
+        def step(above: Column, s: Column) -> tuple[Column, Column]:
+            labels = [F.when(s["level"] == n, s["label"]).when((s["level"] == 0) | (s["level"] > n), above[x]) for n, x in enumerate(LEVELS, 1)]
+            path = F.filter(F.array(F.nullif(source, F.lit("")), *labels), lambda x: x.isNotNull())
+            out = F.struct(s["seg"].alias("seg"), s["tipo"].alias("tipo"), s["conteudo"].alias("conteudo"), path.alias("hierarquia"), s["linha"].alias("linha"))
+            return F.struct(*[c.alias(x) for c, x in zip(labels, LEVELS, strict=True)]), F.array(out)
+
+        return scan(F.transform(opened, row), start, step, SEGMENT)
+
+    return F.filter(let(F.split(text, "\n", -1), of_lines), lambda s: s["conteudo"] != "")
 
 
 def segments(docs: DataFrame, source: Column | None = None) -> DataFrame:
@@ -44,68 +75,56 @@ def segments(docs: DataFrame, source: Column | None = None) -> DataFrame:
     texto_livre. The hierarchy holds the last label of each level that no higher level has cleared since. Blank
     segments are left out.
     """
-    source = F.lit("") if source is None else source
-    rows = docs.select("doc_id", F.coalesce(source, F.lit("")).alias("_source"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
-    level = lambda line: F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce(line_type(line), F.lit("")))
-    mark = F.transform("_lines", lambda line, i: F.struct(i.alias("line"), level(line).cast("int").alias("level"), line.alias("text")))
-    rows = rows.withColumn("_marks", F.filter(mark, lambda m: m["level"] > 0))
-    label = lambda m: F.concat(F.initcap(F.get(F.array(*[F.lit(x) for x in LEVELS]), m["level"] - 1)), F.lit(" "), line_reference(m["text"], F.get(F.array(*[F.lit(x) for x in LEVELS]), m["level"] - 1)))
-    opened = F.transform("_marks", lambda m: F.struct(m["line"].alias("line"), m["level"].alias("level"), label(m).alias("label")))
-    first = F.struct(F.lit(0).alias("line"), F.lit(0).alias("level"), F.lit("").alias("label"))
-    rows = rows.withColumn("_opened", F.concat(F.array(first), opened))
-    exploded = rows.select("doc_id", "_source", "_lines", "_opened", F.posexplode("_opened").alias("_k", "_o"))
-    stop = F.coalesce(F.get("_opened", F.col("_k") + 1)["line"], F.size("_lines"))
-    body = F.array_join(F.slice("_lines", F.col("_o.line") + 1, stop - F.col("_o.line")), "\n")
-    past = F.slice("_opened", F.lit(1), F.col("_k") + 1)
-    labels = []
-    for n in range(1, len(LEVELS) + 1):
-        higher = F.array_max(F.transform(F.filter(past, _between(0, n)), lambda m: m["line"]))
-        own = F.try_element_at(F.filter(past, _between(n - 1, n + 1)), F.lit(-1))
-        labels.append(F.when(own.isNotNull() & (F.coalesce(higher, F.lit(-1)) < own["line"]), own["label"]))
-    path = F.filter(F.array(F.nullif(F.col("_source"), F.lit("")), *labels), lambda x: x.isNotNull())
-    kind = F.coalesce(F.get(F.array(*[F.lit(x) for x in LEVELS]), F.col("_o.level") - 1), F.lit("texto_livre"))
-    out = exploded.select("doc_id", F.col("_k").alias("seg"), kind.alias("tipo"), strip(body).alias("conteudo"), path.alias("hierarquia"), F.col("_o.line").alias("linha"), F.col("_source").alias("fonte"))
-    return out.where("conteudo <> ''")
+    source = F.coalesce(F.lit("") if source is None else source, F.lit(""))
+    rows = docs.select("doc_id", source.alias("fonte"), F.explode(_segments(F.coalesce("text", F.lit("")), source)).alias("s"))
+    return rows.select("doc_id", "s.seg", "s.tipo", "s.conteudo", "s.hierarquia", "s.linha", "fonte")
 
 
 def packed(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> Column:
     """Sentences of a long text filled greedily into pieces; structs of conteudo (stripped) and tamanho (not)."""
     sentences = F.split(text, rf"(?<=[.;:]){S}+", -1)
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
     words = lambda t: F.filter(F.split(t, S + "+", -1), lambda w: w != "")
 
-    def merge(state: Column, sentence: Column) -> Column:
-        buf = state["buf"]
+    def step(buf: Column, sentence: Column) -> tuple[Column, Column]:
         full = (F.length(buf) + F.length(sentence) > most) & (buf != "")
         tail = F.when(F.size(words(buf)) > overlap, F.array_join(F.slice(words(buf), -overlap, overlap), " ")).otherwise("")
         added = F.concat(buf, F.when(buf == "", F.lit("")).otherwise(F.lit(" ")), sentence)
-        return F.struct(
-            F.when(full, F.concat(tail, F.lit(" "), sentence)).otherwise(added).alias("buf"),
-            F.when(full, F.concat(state["out"], F.array(buf))).otherwise(state["out"]).alias("out"),
-        )
+        return F.when(full, F.concat(tail, F.lit(" "), sentence)).otherwise(added), F.when(full, F.array(buf)).otherwise(F.array().cast("array<string>"))
 
-    def finish(state: Column) -> Column:
-        return F.when(strip(state["buf"]) != "", F.concat(state["out"], F.array(state["buf"]))).otherwise(state["out"])
+    def close(buf: Column, out: Column) -> Column:
+        return F.when(strip(buf) != "", F.concat(out, F.array(buf))).otherwise(out)
 
-    pieces = F.aggregate(sentences, start, merge, finish)
+    pieces = scan(sentences, F.lit(""), step, "array<string>", close)
     return F.transform(pieces, lambda p: F.struct(strip(p).alias("conteudo"), F.length(p).alias("tamanho")))
 
 
+CHUNK = "array<struct<tipo:string,conteudo:string,hierarquia:array<string>,tamanho:bigint,lin_ini:bigint,lin_fim:bigint>>"
+
+
+def chunk_array(text: Column, source: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> Column:
+    """The chunks of a text, in order: its segments, and pieces of those over `most` characters."""
+
+    def of(s: Column) -> Column:
+        body = s["conteudo"]
+        small = F.length(body) <= most
+        whole = F.array(F.struct(body.alias("conteudo"), F.length(body).alias("tamanho")))
+        lines = F.when(small, F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).otherwise(0)
+        last = (s["linha"] + lines).alias("lin_fim")
+        row = lambda p: F.struct(s["tipo"].alias("tipo"), p["conteudo"].alias("conteudo"), s["hierarquia"].alias("hierarquia"), p["tamanho"].alias("tamanho"), s["linha"].alias("lin_ini"), last)
+        return F.transform(F.when(small, whole).otherwise(packed(body, most, overlap)), row)
+
+    return F.flatten(F.transform(_segments(text, source), of)).cast(CHUNK)
+
+
+def chunk_id(number: Column) -> Column:
+    return F.format_string("chunk_%06d", number + 1)
+
+
 def structural_chunks(docs: DataFrame, source: Column | None = None, most: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Chunks of docs (doc_id, text): segments, and pieces of those over `most` characters, numbered in each document."""
-    found = segments(docs, source)
-    text = F.col("conteudo")
-    whole = F.array(F.struct(text.alias("conteudo"), F.length(text).alias("tamanho")))
-    small = F.length(text) <= most
-    pieces = F.when(small, whole).otherwise(packed(text, most, overlap))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    found = found.select("doc_id", "seg", "tipo", "hierarquia", "fonte", "linha", F.when(small, lines).otherwise(0).alias("_lines"), pieces.alias("_pieces"))
-    # a document's segments go back into one array, so that numbering needs no window over the text
-    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg", "tipo", "hierarquia", "fonte", "linha", "_lines", "_pieces"))).alias("_all"))
-    flat = F.flatten(F.transform("_all", lambda s: F.transform(s["_pieces"], lambda p: F.struct(s["tipo"].alias("tipo"), p["conteudo"].alias("conteudo"), s["hierarquia"].alias("hierarquia"), s["fonte"].alias("fonte"), p["tamanho"].alias("tamanho"), s["linha"].alias("lin_ini"), (s["linha"] + s["_lines"]).alias("lin_fim")))))
-    rows = rows.select("doc_id", F.posexplode(flat).alias("_n", "c"))
-    long = lambda name: F.col(f"c.{name}").cast("long").alias(name)
-    return rows.select("doc_id", F.format_string("chunk_%06d", F.col("_n") + 1).alias("chunk_id"), "c.tipo", "c.conteudo", "c.hierarquia", "c.fonte", long("tamanho"), long("lin_ini"), long("lin_fim"))
+    """Chunks of docs (doc_id, text): segments, and pieces of those over `most` characters, numbered in each row of docs."""
+    source = F.coalesce(F.lit("") if source is None else source, F.lit(""))
+    rows = docs.select("doc_id", source.alias("fonte"), F.posexplode(chunk_array(F.coalesce("text", F.lit("")), source, most, overlap)).alias("_n", "c"))
+    return rows.select("doc_id", chunk_id(F.col("_n")).alias("chunk_id"), "c.tipo", "c.conteudo", "c.hierarquia", "fonte", "c.tamanho", "c.lin_ini", "c.lin_fim")
 
 
 def with_context(chunks: DataFrame) -> DataFrame:

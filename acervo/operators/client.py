@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from acervo.functions.lexicons import CLIENT_LATIN, CLIENT_PATTERNS, CLIENT_REDUNDANCIES, CLIENT_SPELLING, CLIENT_STYLE, CLIENT_THEMES
 from acervo.functions.regexes import literal
-from acervo.functions.spans import find_all
+from acervo.functions.folds import scan
+from acervo.functions.spans import matches, placed
 from acervo.functions.text import client_tokens
 
 K1, B, ALPHA = 1.5, 0.75, 0.5
@@ -88,17 +89,23 @@ def _entity(number: int, kind: str):
 def first_of_each(found: Column, key: str) -> Column:
     """The first entity of each (type, key)."""
 
-    def merge(kept: Column, r: Column) -> Column:
-        known = F.exists(kept, lambda e: (e["tipo"] == r["tipo"]) & (e[key] == r[key]))
-        return F.when(known, kept).otherwise(F.concat(kept, F.array(r)))
-
     kind = f"array<{CLIENT_ENTITY}>"
-    return F.aggregate(found.cast(kind), F.array().cast(kind), merge)
+    found = found.cast(kind)
+    # sorted by type and key, an entity is the first of its kind where its neighbour before differs
+    order = lambda r: F.struct(r["tipo"].alias("tipo"), r[key].alias("key"), r["ord"].alias("ord"), r["pos"].alias("pos"), r.alias("r"))
+
+    def step(last: Column, o: Column) -> tuple[Column, Column]:
+        same = last["tipo"].eqNullSafe(o["tipo"]) & last["key"].eqNullSafe(o["key"])
+        return F.struct(o["tipo"].alias("tipo"), o["key"].alias("key")), F.when(same, F.array().cast(kind)).otherwise(F.array(o["r"]))
+
+    none = F.lit(None).cast("string")
+    firsts = scan(F.array_sort(F.transform(found, order)), F.struct(none.alias("tipo"), none.alias("key")), step, kind)
+    return F.array_sort(firsts)  # by pattern and match
 
 
 def entities(text: Column) -> Column:
     """Entities and themes by pattern order, the first of each (type, value before masking)."""
-    parts = [F.transform(find_all(text, js(p, ignore), 1), _entity(n, kind)) for n, (kind, p, ignore) in enumerate(CLIENT_PATTERNS)]
+    parts = [F.transform(matches(text, js(p, ignore), 1), _entity(n, kind)) for n, (kind, p, ignore) in enumerate(CLIENT_PATTERNS)]
     lower = F.lower(text)
     for n, (theme, terms) in enumerate(CLIENT_THEMES.items()):
         term = F.get(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(lower, t)), F.lit(0))
@@ -122,7 +129,7 @@ def grouped(found: DataFrame) -> DataFrame:
 def _correction(order: int, tipo: str, severidade: str, sugestao, explicacao: str):
     def row(m: Column, i: Column) -> Column:
         new = sugestao(m) if callable(sugestao) else F.lit(sugestao)
-        return F.struct(m["ini"].alias("ini"), F.lit(order).alias("ord"), i.alias("pos"), m["fim"].alias("fim"), F.lit(tipo).alias("tipo"), F.lit(severidade).alias("severidade"), m["original"].alias("texto_original"), new.alias("sugestao"), F.lit(explicacao).alias("explicacao"))
+        return F.struct(F.lit(order).alias("ord"), i.alias("pos"), m["gap"].alias("gap"), m["width"].alias("width"), F.lit(tipo).alias("tipo"), F.lit(severidade).alias("severidade"), m["original"].alias("texto_original"), new.alias("sugestao"), F.lit(explicacao).alias("explicacao"))
 
     return row
 
@@ -151,7 +158,11 @@ def corrections(text: Column) -> Column:
     rules.append((rf"{JS_S}+([.,;:!?])", _correction(400, "pontuacao", "aviso", _sign, "Remover espaço antes da pontuação")))
     for i, (a, b) in enumerate(CLIENT_LATIN.items()):
         rules.append((f"(?iu){literal(a)}", _correction(500 + i, "latinismo", "info", _original, f"Latinismo: '{a}' = {b}")))
-    return F.array_sort(F.flatten(F.array(*[F.transform(find_all(text, p), row) for p, row in rules])))
+    names = ("ord", "pos", "tipo", "severidade", "texto_original", "sugestao", "explicacao")
+    kind = "tipo:string,severidade:string,texto_original:string,sugestao:string,explicacao:string>>"
+    rows = F.flatten(F.array(*[F.transform(matches(text, p), row).cast(f"array<struct<ord:int,pos:int,gap:int,width:int,{kind}") for p, row in rules]))
+    found = placed(rows, names, f"array<struct<ini:int,fim:int,ord:int,pos:int,{kind}")
+    return F.array_sort(F.transform(found, lambda c: F.struct(*[c[n].alias(n) for n in ("ini", "ord", "pos", "fim", *names[2:])])))
 
 
 def corrected(text: Column) -> Column:

@@ -5,17 +5,23 @@ Every row's patterns are applied in one projection over one scan; nothing is shu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.lexicons import CROSS_REFERENCE, ENTITY_PATTERNS, THEMES
+from acervo.functions.folds import let, scan
 from acervo.functions.regexes import bounded, render
-from acervo.functions.spans import find_all
+from acervo.functions.spans import folded, matches, placed
 from acervo.functions.text import mask, title
 
 ENTITY = "struct<ini:int,ord:int,pos:int,fim:int,tipo:string,valor:string,texto_original:string,confianca:double,area:string>"
 
 
+MATCH = "array<struct<ord:int,pos:int,gap:int,width:int,tipo:string,valor:string,texto_original:string>>"
+
+
 def _entity(number: int, kind: str, masked: bool, mask_original: bool):
     """A match as an entity of pattern `number`."""
     tipo = F.lit(kind)
@@ -23,15 +29,13 @@ def _entity(number: int, kind: str, masked: bool, mask_original: bool):
 
     def row(m: Column, i: Column) -> Column:
         return F.struct(
-            m["ini"].alias("ini"),
             F.lit(number).alias("ord"),
             i.alias("pos"),
-            m["fim"].alias("fim"),
+            m["gap"].alias("gap"),
+            m["width"].alias("width"),
             tipo.alias("tipo"),
             (mask(m["valor"], tipo) if sensitive else m["valor"]).alias("valor"),
             (mask(m["original"], tipo) if sensitive and mask_original else m["original"]).alias("texto_original"),
-            F.lit(0.95).alias("confianca"),
-            F.lit(None).cast("string").alias("area"),
         )
 
     return row
@@ -48,8 +52,19 @@ def pattern_entities(text: Column, masked: bool = True, mask_original: bool = Fa
             continue
         java = render(bounded(pattern) if borders else pattern, ignore_case)
         grouped = "(" in pattern.replace("(?:", "")
-        parts.append(F.transform(find_all(text, java, 1 if grouped else None), _entity(number, kind, masked, mask_original)))
-    return F.flatten(F.array(*parts))
+        found = F.transform(matches(text, java, 1 if grouped else None), _entity(number, kind, masked, mask_original)).cast(MATCH)
+        start = _beginning(pattern)
+        parts.append(F.when(F.contains(folded(text), F.lit(start)), found).otherwise(F.array().cast(MATCH)) if start else found)
+    names = ("ord", "pos", "tipo", "valor", "texto_original")
+    found = placed(F.flatten(F.array(*parts)), names, "array<struct<ini:int,fim:int,ord:int,pos:int,tipo:string,valor:string,texto_original:string>>")
+    none = F.lit(None).cast("string").alias("area")
+    return F.transform(found, lambda e: F.struct(*[e[n].alias(n) for n in ("ini", "ord", "pos", "fim", *names[2:])], F.lit(0.95).alias("confianca"), none))
+
+
+def _beginning(pattern: str) -> str:
+    """The letters, in lower case, that all matches of a pattern begin with; texts without them need no search."""
+    first, rest = re.match(r"(?:\[(\w)\w\])?([^\W\d_]*|§)", pattern).groups()
+    return (first or "").lower() + rest.lower()
 
 
 def themes(text: Column) -> Column:
@@ -81,13 +96,18 @@ def themes(text: Column) -> Column:
 
 def deduplicated(found: Column) -> Column:
     """Of entities with one (start, end, type) the first by pattern order."""
-    ordered = F.array_sort(found.cast(f"array<{ENTITY}>"))
+    kind = f"array<{ENTITY}>"
+    ordered = F.array_sort(found.cast(kind))
 
-    def merge(kept: Column, r: Column) -> Column:
-        known = F.exists(kept, lambda e: (e["ini"] == r["ini"]) & (e["fim"] == r["fim"]) & (e["tipo"] == r["tipo"]))
-        return F.when(known, kept).otherwise(F.concat(kept, F.array(r)))
+    def step(state: Column, r: Column) -> tuple[Column, Column]:
+        """The state has the start of the last entity and the ends and types met at it."""
+        key = F.concat_ws(" ", r["fim"].cast("string"), r["tipo"])
+        same = state["ini"] == r["ini"]
+        known = same & F.array_contains(state["met"], key)
+        met = F.when(same, F.concat(state["met"], F.array(key))).otherwise(F.array(key))
+        return F.struct(r["ini"].alias("ini"), met.alias("met")), F.when(known, F.array().cast(kind)).otherwise(F.array(r))
 
-    return F.aggregate(ordered, F.array().cast(f"array<{ENTITY}>"), merge)
+    return scan(ordered, F.struct(F.lit(-1).alias("ini"), F.array().cast("array<string>").alias("met")), step, kind)
 
 
 def entities(text: Column, masked: bool = True, kinds: tuple[str, ...] | None = None) -> Column:
@@ -110,14 +130,28 @@ def summary(found: DataFrame) -> DataFrame:
     return counted
 
 
+def _pairs(text: Column) -> Column:
+    """Article and law of each cross reference, in order."""
+    pattern = render(CROSS_REFERENCE, ignore_case=True)
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2)]
+    return F.transform(F.arrays_zip(found[0].alias("a"), found[1].alias("l")), lambda p: F.struct(F.concat(F.lit("Lei "), p["l"]).alias("lei"), F.concat(F.lit("Art. "), p["a"]).alias("artigo")))
+
+
+def references(text: Column) -> Column:
+    """Law to its articles, distinct and both in order of appearance; null where a text cites none together."""
+
+    def of(pairs: Column) -> Column:
+        laws = F.array_distinct(F.transform(pairs, lambda p: p["lei"]))
+        articles = lambda law: F.array_distinct(F.transform(F.filter(pairs, lambda p: p["lei"] == law), lambda p: p["artigo"]))
+        return F.when(F.size(laws) > 0, F.map_from_entries(F.transform(laws, lambda law: F.struct(law, articles(law)))))
+
+    return let(_pairs(text), of)
+
+
 def cross_references(docs: DataFrame) -> DataFrame:
     """doc_id, lei, artigo and ord: which articles of which laws are cited together, distinct, in order."""
-    pattern = render(CROSS_REFERENCE, ignore_case=True)
-    text = F.coalesce("text", F.lit(""))
-    articles = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    laws = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pairs = docs.select("doc_id", F.posexplode(F.arrays_zip(articles.alias("a"), laws.alias("l"))).alias("ord", "p"))
-    pairs = pairs.select("doc_id", F.concat(F.lit("Lei "), "p.l").alias("lei"), F.concat(F.lit("Art. "), "p.a").alias("artigo"), F.col("ord").cast("long").alias("ord"))
+    pairs = docs.select("doc_id", F.posexplode(_pairs(F.coalesce("text", F.lit("")))).alias("ord", "p"))
+    pairs = pairs.select("doc_id", "p.lei", "p.artigo", F.col("ord").cast("long").alias("ord"))
     return pairs.groupBy("doc_id", "lei", "artigo").agg(F.min("ord").alias("ord"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.lexicons import ABBREVIATIONS, LATIN, REDUNDANCIES, SPELLING, STYLE
+from acervo.functions.folds import scan
 from acervo.functions.regexes import S, bounded, literal, render
-from acervo.functions.spans import find_all
+from acervo.functions.spans import folded, matches, placed
 from acervo.functions.text import strip
 
 PUNCTUATION = ".,;:!?"
@@ -16,17 +19,26 @@ DOUBLED = rf"([{PUNCTUATION}])\1+"
 ARTICLE = rf"Art\.?{S}*(\p{{Nd}}+){S}"
 
 
-def _rows(matches: Column, order: int, tipo: str, severidade: str, regra: str, sugestao, explicacao, keep=None) -> Column:
-    """Corrections of matches; sugestao and explicacao are values or functions of the match (and suggestion)."""
+NAMES = ("ord", "pos", "tipo", "severidade", "texto_original", "sugestao", "explicacao", "regra")
+MATCH = "array<struct<ord:int,pos:int,gap:int,width:int,stays:boolean,tipo:string,severidade:string,texto_original:string,sugestao:string,explicacao:string,regra:string>>"
+PLACED = "array<struct<ini:int,fim:int,ord:int,pos:int,tipo:string,severidade:string,texto_original:string,sugestao:string,explicacao:string,regra:string,stays:boolean>>"
+
+
+def _rows(found: Column, order: int, tipo: str, severidade: str, regra: str, sugestao, explicacao, changed: bool = False, gate: Column | None = None) -> Column:
+    """Corrections of matches; sugestao and explicacao are values or functions of the match (and suggestion).
+
+    Only where gate holds is anything searched; with `changed`, a suggestion like the match does not stay.
+    """
 
     def row(m: Column, i: Column) -> Column:
         new = sugestao(m) if callable(sugestao) else F.lit(sugestao)
         why = explicacao(m, new) if callable(explicacao) else F.lit(explicacao)
         return F.struct(
-            m["ini"].alias("ini"),
             F.lit(order).alias("ord"),
             i.alias("pos"),
-            m["fim"].alias("fim"),
+            m["gap"].alias("gap"),
+            m["width"].alias("width"),
+            (new != m["original"] if changed else F.lit(True)).alias("stays"),
             F.lit(tipo).alias("tipo"),
             F.lit(severidade).alias("severidade"),
             m["original"].alias("texto_original"),
@@ -35,12 +47,16 @@ def _rows(matches: Column, order: int, tipo: str, severidade: str, regra: str, s
             F.lit(regra).alias("regra"),
         )
 
-    rows = F.transform(matches, row)
-    return F.filter(rows, keep) if keep else rows
+    rows = F.transform(found, row).cast(MATCH)
+    return F.when(gate, rows).otherwise(F.array().cast(MATCH)) if gate is not None else rows
+
+
+def _has(text: Column, phrase: str) -> Column:
+    return F.contains(folded(text), F.lit(phrase.lower()))
 
 
 def spelling(text: Column, words: dict[str, str] = SPELLING) -> list[Column]:
-    return [_rows(find_all(text, f"(?iu){literal(a)}"), i, "ortografia", "erro", "ORTOGRAFIA_JURIDICA", b, f"Grafia correta: '{b}'") for i, (a, b) in enumerate(words.items())]
+    return [_rows(matches(text, f"(?iu){literal(a)}"), i, "ortografia", "erro", "ORTOGRAFIA_JURIDICA", b, f"Grafia correta: '{b}'", gate=_has(text, a)) for i, (a, b) in enumerate(words.items())]
 
 
 def abbreviations(text: Column) -> list[Column]:
@@ -51,23 +67,23 @@ def abbreviations(text: Column) -> list[Column]:
         java = render(bounded(word.replace("[°º]", "º")) + rest, ignore_case=True)
         change = lambda m, java=java, new=new: F.regexp_replace(m["original"], java, new)
         why = lambda m, s: F.concat(F.lit("Abreviação padronizada: '"), s, F.lit("'"))
-        out.append(_rows(find_all(text, java), 100 + i, "abreviacao", "aviso", "ABREVIACAO_PADRAO", change, why, lambda r: r["sugestao"] != r["texto_original"]))
+        out.append(_rows(matches(text, java), 100 + i, "abreviacao", "aviso", "ABREVIACAO_PADRAO", change, why, True, _has(text, re.match("[a-z]+", word)[0])))
     return out
 
 
 def redundancies(text: Column, phrases=REDUNDANCIES) -> list[Column]:
-    return [_rows(find_all(text, f"(?iu){literal(a)}"), 200 + i, "redundancia", "aviso", "REDUNDANCIA", b, c) for i, (a, b, c) in enumerate(phrases)]
+    return [_rows(matches(text, f"(?iu){literal(a)}"), 200 + i, "redundancia", "aviso", "REDUNDANCIA", b, c, gate=_has(text, a)) for i, (a, b, c) in enumerate(phrases)]
 
 
 def style(text: Column, terms=STYLE) -> list[Column]:
-    return [_rows(find_all(text, f"(?iu){bounded(literal(a))}"), 300 + i, "estilo", "info", "ESTILO_JURIDICO", b, c) for i, (a, b, c) in enumerate(terms)]
+    return [_rows(matches(text, f"(?iu){bounded(literal(a))}"), 300 + i, "estilo", "info", "ESTILO_JURIDICO", b, c, gate=_has(text, a)) for i, (a, b, c) in enumerate(terms)]
 
 
 def punctuation(text: Column) -> list[Column]:
     sign = lambda m: F.right(m["original"], F.lit(1))
     return [
-        _rows(find_all(text, SPACED), 400, "pontuacao", "aviso", "ESPACO_PONTUACAO", sign, "Remover espaço antes da pontuação"),
-        _rows(find_all(text, DOUBLED), 401, "pontuacao", "erro", "DUPLICATA_PONTUACAO", sign, "Remover pontuação duplicada"),
+        _rows(matches(text, SPACED), 400, "pontuacao", "aviso", "ESPACO_PONTUACAO", sign, "Remover espaço antes da pontuação"),
+        _rows(matches(text, DOUBLED), 401, "pontuacao", "erro", "DUPLICATA_PONTUACAO", sign, "Remover pontuação duplicada"),
     ]
 
 
@@ -78,11 +94,11 @@ def article_format(text: Column) -> list[Column]:
         return F.concat(F.lit("Art. "), m["valor"], F.when(small, F.lit("º ")).otherwise(" "))
 
     why = lambda m, s: F.concat(F.lit("Formatação padrão: '"), strip(s), F.lit("'"))
-    return [_rows(find_all(text, ARTICLE, 1), 500, "formatacao", "info", "FORMATO_ARTIGO", expected, why, lambda r: r["sugestao"] != r["texto_original"])]
+    return [_rows(matches(text, ARTICLE, 1), 500, "formatacao", "info", "FORMATO_ARTIGO", expected, why, True, F.contains(text, F.lit("Art")))]
 
 
 def latin(text: Column, phrases: dict[str, str] = LATIN) -> list[Column]:
-    return [_rows(find_all(text, f"(?iu){literal(a)}"), 600 + i, "latinismo", "info", "LATINISMO", lambda m: m["original"], f"Latinismo: '{a}' = {b}") for i, (a, b) in enumerate(phrases.items())]
+    return [_rows(matches(text, f"(?iu){literal(a)}"), 600 + i, "latinismo", "info", "LATINISMO", lambda m: m["original"], f"Latinismo: '{a}' = {b}", gate=_has(text, a)) for i, (a, b) in enumerate(phrases.items())]
 
 
 FAMILIES = {"spelling": spelling, "abbreviations": abbreviations, "redundancies": redundancies, "style": style, "punctuation": punctuation, "article_format": article_format, "latin": latin}
@@ -90,7 +106,9 @@ FAMILIES = {"spelling": spelling, "abbreviations": abbreviations, "redundancies"
 
 def corrections(text: Column, families=tuple(FAMILIES)) -> Column:
     """All corrections by start; ties by rule family, rule and match."""
-    return F.array_sort(F.flatten(F.array(*[c for f in families for c in FAMILIES[f](text)])))
+    found = placed(F.flatten(F.array(*[c for f in families for c in FAMILIES[f](text)])), (*NAMES, "stays"), PLACED)
+    row = lambda c: F.struct(*[c[n].alias(n) for n in ("ini", "ord", "pos", "fim", *NAMES[2:])])
+    return F.array_sort(F.transform(F.filter(found, lambda c: c["stays"]), row))
 
 
 def edited(text: Column, found: Column) -> Column:
@@ -100,13 +118,12 @@ def edited(text: Column, found: Column) -> Column:
     one stays whole.
     """
     edits = F.filter(found, lambda c: c["severidade"] == "erro")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def merge(state: Column, c: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(c["ini"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(c["fim"], state["at"]).alias("at"), F.concat(state["out"], gap, c["sugestao"]).alias("out"))
+    def step(at: Column, c: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, F.greatest(c["ini"] - at, F.lit(0)))
+        return F.greatest(c["fim"], at), F.array(F.concat(gap, c["sugestao"]))
 
-    return F.aggregate(edits, start, merge, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return scan(edits, F.lit(0), step, "array<string>", lambda at, parts: F.concat(F.array_join(parts, ""), F.substring(text, at + 1, F.length(text))))
 
 
 def correct(docs: DataFrame) -> DataFrame:

@@ -141,3 +141,22 @@ def test_analysis(spark):
     assert row.num_chunks == 2 and row.resumo_entidades == {"lei": 2, "artigo": 1} and row.por_severidade == {"erro": 1}
     with pytest.raises(ValueError, match="vazio"):
         assistant.require_text("  ")
+
+
+def test_many_matches_in_one_text(spark):
+    """Places, duplicates, edits and pieces of a long text are found in one pass over blocks."""
+    unit = "Art. 5 da Lei 8.629/93 e peticao ,, no STF. "
+    text = unit * 1500
+    row = table(spark, text).select(entities.entities(F.col("text")).alias("e"), grammar.corrections(F.col("text")).alias("c")).first()
+    few = table(spark, unit * 3).select(entities.entities(F.col("text")).alias("e"), grammar.corrections(F.col("text")).alias("c")).first()
+    assert len(row.e) == 1500 * (len(few.e) // 3) and len(row.c) == 500 * len(few.c)
+    assert all(text[e.ini : e.fim] == e.texto_original for e in row.e) and all(text[c.ini : c.fim] == c.texto_original for c in row.c)
+    fixed = grammar.correct(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().texto_corrigido
+    assert fixed == unit.replace("peticao", "petição").replace(",,", ",") * 1500
+
+
+def test_repeated_ids_are_chunked_apart(spark):
+    docs = spark.createDataFrame([(1, "Art. 1 a\nArt. 2 b"), (1, "Art. 9 z"), (2, None)], "doc_id long, text string")
+    got = chunking.structural_chunks(docs).collect()
+    assert sorted((r.chunk_id, r.conteudo) for r in got) == [("chunk_000001", "Art. 1 a"), ("chunk_000001", "Art. 9 z"), ("chunk_000002", "Art. 2 b")]
+    assert "Exchange" not in chunking.structural_chunks(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"))._jdf.queryExecution().executedPlan().toString()
