@@ -95,12 +95,20 @@ def add_documents(base: DataFrame, docs: DataFrame, order_by: str = "id", replac
 
 
 def numbered(docs: DataFrame, order_by: str, start: int) -> DataFrame:
-    """docs with doc_idx from start on, in order: ranges of the order are counted, then rows inside each range."""
-    ranged = docs.repartitionByRange(order_by).sortWithinPartitions(order_by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("_part").alias("_p"), (before - F.col("_first") + start).alias("_offset"))
-    rows = ranged.join(offsets, F.col("_part") == F.col("_p"))
+    """docs with doc_idx from start on, in order; ties go by the text.
+
+    The order is cut at keys, and each row's range follows from its key alone, not from where it stands: counts and
+    rows may be computed apart. The cuts are some keys with the least hashes, a few for each shuffle partition.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = docs.select(F.col(order_by).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k")).limit(16 * parts).collect()
+    cuts = sorted(r[0] for r in some)[16::16]
+    ranged = docs.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(order_by))), F.lit(0)) if cuts else F.lit(0))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_range").alias("_r"), (before + start).alias("_offset"))  # as many rows as cuts
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(order_by, "conteudo")) - 1
+    rows = ranged.withColumn("_at", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
     return rows.select((F.col("_at") + F.col("_offset")).cast("long").alias("doc_idx"), "id", "conteudo", "metadata")
 
 

@@ -148,3 +148,22 @@ def test_nearest_of_many_ties_and_gaps(spark):
     got = search.nearest_of_many(vectors, asked.where("vec_id IN (9, 5)"), 3).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(9, 1, 4, 1.0), (9, 2, 9, 1.0), (9, 3, 7, 0.0)]
     assert search.nearest_of_many(vectors, asked.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("parts", [8, 200])
+def test_added_documents_lose_nothing(spark, tmp_path, parts):
+    """Written whole, at any number of partitions, every doc_idx is there once and in order of the key."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        docs = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.col("text").alias("conteudo"), F.create_map(F.lit("fonte"), F.lit("d")).alias("metadata"))
+        docs = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("id", F.lit(None).cast("string")))
+        base = knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", "metadata")
+        knowledge.add_documents(base, docs).write.parquet(str(tmp_path / "all"))
+        rows = spark.read.parquet(str(tmp_path / "all")).select("doc_idx", "id").orderBy("doc_idx").collect()
+        assert [r.doc_idx for r in rows] == list(range(10_012))
+        ids = [r.id or "" for r in rows[10:]]
+        assert ids == sorted(ids)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
