@@ -21,7 +21,7 @@ _LINES = [
     "CASE WHEN k % 10 = 7 THEN repeat(concat('Art. 12 da Lei 8.629/93 e Art. 13 da Lei 8.629/93; a posse, o crime e a pena: trabalho rural ', CAST(k AS STRING), ' no TJSP. '), 9) ELSE 'des. relator, fls. 3, onde se lê o mesmo.' END",
 ]
 LEGAL_TEXT = "concat(" + ", chr(10), ".join(_LINES) + ")"
-LEGAL_SQL = f"SELECT k AS doc_id, {LEGAL_TEXT} AS text FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 IN (0, 3, 4, 7))"
+LEGAL_SQL = f"SELECT k AS doc_id, {LEGAL_TEXT} AS text FROM (SELECT o_orderkey AS k FROM orders)"
 
 #: (query_id, query) of the questions that retrieval is tried with.
 QUESTIONS = [
@@ -37,7 +37,7 @@ QUESTIONS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {sql(q)})"
 
 def legal(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    keys = orders.where("o_orderkey % 10 IN (0, 3, 4, 7)").select(F.col("o_orderkey").alias("k"))
+    keys = orders.select(F.col("o_orderkey").alias("k"))
     keys = keys.repartition(spark.sparkContext.defaultParallelism, "k")  # keys are few bytes; the texts made of them are work for all cores
     return keys.select(F.col("k").alias("doc_id"), F.expr(LEGAL_TEXT).alias("text"))
 
