@@ -2,8 +2,8 @@
 
 A family names a license in the forms in which notices write it. Each form gives rules of its own kind:
 an SPDX line, a web address, a grant ("licensed under the ..."), a title ("... license") and, where the name
-is unmistakable, the bare name. A kind has a priority and a score, and a rule a keyword without which it can't
-match.
+is unmistakable, the bare name. The bodies of notices, which say what is permitted without a name, have rules of
+their own. A kind has a priority and a score, and a rule a keyword without which it can't match.
 """
 
 from __future__ import annotations
@@ -78,8 +78,42 @@ FAMILIES: dict[str, tuple[list[str], list[str], list[str], bool]] = {
     "proprietary": (["proprietary and confidential", "unauthorized copying of this file"], ["licenseref proprietary"], ["licenseref org proprietary"], True),
 }
 
+#: label, keyword and signature of a notice's body.
+BODIES = [
+    ("mit", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-0", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("isc", " permission to use ", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", " permission to use ", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    ("bsd-2-clause", " redistribution and use ", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", " redistribution and use ", "redistribution and use in source and binary forms with or without modification are permitted .{0,900}?neither the names? of .{0,120}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", " redistribution and use ", "redistribution and use in source and binary forms with or without modification are permitted .{0,900}?all advertising materials mentioning features or use of this software must display"),
+    ("bsd", " redistributions of ", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", " redistributions in ", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("apache-2", " license", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", " license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", " free software ", "(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2", " free software ", "(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", " free software ", "(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl", " free software ", "this (?:library|program|file) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl-3", " free software ", "(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2", " license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1", " license", "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("epl-1", " license", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", " license", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0"),
+    ("zlib", " altered source ", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", " free and unencumbered ", "this is free and unencumbered software released into the public domain"),
+    ("ofl", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("postgresql", " permission to use ", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("warranty-disclaimer", " provided as is ", "(?:this )?software is provided as is without warrant(?:y|ies) of any kind"),
+    ("warranty-disclaimer", " provided as is ", "this software is provided as is without any express(?:ed)? or implied warrant(?:y|ies)"),
+    ("warranty-disclaimer", " or implied warrant", "this software is provided by .{0,120}?as is and any express(?:ed)? or implied warrant(?:y|ies)"),
+    ("warranty-disclaimer", " without any warranty ", "in the hope that it will be useful but without any warranty"),
+]
+
 #: kind: (priority: the least wins, score)
-KINDS = {"spdx": (1, 1.0), "address": (2, 0.95), "grant": (3, 0.9), "title": (4, 0.8), "name": (5, 0.6)}
+KINDS = {"spdx": (1, 1.0), "address": (2, 0.95), "body": (3, 0.95), "grant": (4, 0.9), "title": (5, 0.8), "name": (6, 0.6)}
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|redistributed|covered|shared) under (?:the )?(?:terms of )?(?:the )?"
 
 
@@ -118,4 +152,6 @@ def rules() -> list[Rule]:
                 found.append(_rule("title", label, i, " licen", f"{body} licen[sc]e"))
             if alone:
                 found.append(_rule("name", label, i, f" {_start(body)}", body))
+    for i, (label, keyword, body) in enumerate(BODIES):
+        found.append(_rule("body", label, i, keyword, body))
     return sorted(found, key=lambda r: r.priority)

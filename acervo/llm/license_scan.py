@@ -1,8 +1,9 @@
 """License scans with DataFrame functions alone: ordered signature rules behind a keyword gate.
 
 A text is cut to words once. Only texts that have one of the gate's words go on to the rules; there each rule
-is tried if its keyword occurs, matches get their place, and a match inside a match of higher priority (or
-inside a longer one of the same priority) is dropped.
+is tried if its keyword occurs, matches get their place in words, and a match inside a match of higher priority (or
+inside a longer one of the same priority) is dropped: in order of their starts, a match is inside an earlier one if
+that one ends behind it, so one pass that remembers the furthest end of each priority finds them all.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import read, whole_text
-from acervo.llm.license_rules import Rule, rules
+from acervo.functions.folds import scan as fold
+from acervo.llm.common import kept, read, whole_text
+from acervo.llm.license_rules import KINDS, Rule, rules
 
 #: What separates words: every ASCII character but digits and letters. A-Z are lower-cased afterwards.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -25,26 +27,30 @@ GATE = (
     r"(?i) (?:licen[sc]|spdx |(?:released|distributed|redistributed|available|published|provided|covered|shared) under |gnu |[al]?gplv?[0-9]? |gfdl "
     r"|(?:mpl|epl|cddl|eupl|wtfpl|cc|cc0) |creative commons |creativecommons |(?:the )?public domain |all rights reserved |proprietary and |unauthorized copying "
     r"|same terms as perl |(?:common|mozilla|eclipse) (?:public|development) |european union |artistic license |do what the |wikipedia org |joinup ec |mit license |dev perl |mozilla org |eclipse org |(?:opensource|apache|opendatacommons|boost|unlicense|wtfpl|perlfoundation"
-    r"|python|lang|php|postgresql|openssl|libpng|zlib|openldap|sil) (?:org|net|com) |mariadb com |curl (?:se|haxx) |cecill info )"
+    r"|python|lang|php|postgresql|openssl|libpng|zlib|openldap|sil) (?:org|net|com) |mariadb com |curl (?:se|haxx) |cecill info "
+    r"|hereby granted |redistributions? (?:and use|in binary|of source) |permission to use |is provided as is |without warrant(?:y|ies) |without any warranty |express(?:ed)? or implied |free and unencumbered |free software |altered source )"
 )
 #: Rules of one keyword that are first tried as one pattern.
 TOGETHER = 12
 RULE = "array<struct<label:string,priority:int,score:double,pattern:string>>"
+#: start and end count words.
 DETECTION = "struct<label:string,priority:int,score:double,start:int,end:int>"
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+#: Marks before and behind a match; separators, so no word has them.
+OPEN, CLOSE = "\x01", "\x02"
+_FAR = (1 << 31) - 1
 
 
 def _spans(text: Column, rule: Column) -> Column:
-    """The matches of a rule with their code-point places: a match starts after all gaps and matches before it."""
-    pattern = rule["pattern"]
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    width = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    """The matches of a rule with the places of their words: marks are set around matches, and marked words counted off."""
+    marked = F.split(F.trim(F.regexp_replace(text, rule["pattern"], F.lit(f"{OPEN}$0{CLOSE}"))), " ", -1)
+    first = F.array_compact(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(OPEN)), i)))
+    last = F.array_compact(F.transform(marked, lambda w, i: F.when(F.endswith(w, F.lit(CLOSE)), i)))
 
-    def one(match: Column, i: Column) -> Column:
-        start = width(F.slice(gaps, 1, i + 1)) + width(F.slice(found, 1, i))
-        return F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["score"].alias("score"), start.alias("start"), (start + F.length(match)).alias("end"))
+    def one(a: Column, b: Column) -> Column:
+        return F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["score"].alias("score"), a.alias("start"), (b + 1).alias("end"))
 
-    return F.transform(found, one)
+    return F.zip_with(first, last, one)
 
 
 def detections(text: Column) -> Column:
@@ -66,22 +72,32 @@ def detections(text: Column) -> Column:
 
 
 def suppressed(found: Column) -> Column:
-    """Without what lies inside a match of higher priority, or inside a longer one of the same priority."""
+    """Without what lies inside a match of higher priority, or inside a longer one of the same priority.
 
-    def inside(d: Column, e: Column) -> Column:
-        contains = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        return contains & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & longer))
+    The state has, for each priority, the furthest end so far and the earliest start with it, as one number.
+    """
+    levels = max(p for p, _ in KINDS.values())
+    place = lambda d: d["end"].cast("long") * (1 << 32) + (_FAR - d["start"])
+
+    def step(state: Column, d: Column) -> tuple[Column, Column]:
+        higher = F.coalesce(F.array_max(F.slice(state, F.lit(1), d["priority"] - 1)), F.lit(-1).cast("long"))
+        inside = (higher >= d["end"].cast("long") * (1 << 32)) | (F.get(state, d["priority"] - 1) > place(d))
+        reached = F.transform(state, lambda x, i: F.when(i == d["priority"] - 1, F.greatest(x, place(d))).otherwise(x))
+        return reached, F.when(inside, F.array().cast(f"array<{DETECTION}>")).otherwise(F.array(d))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: inside(d, e)))
+    order = lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("less"), d["priority"].alias("priority"), d.alias("d"))
+    ordered = F.transform(F.array_sort(F.transform(found, order)), lambda o: o["d"])
+    return fold(ordered, F.array_repeat(F.lit(-1).cast("long"), levels), step, f"array<{DETECTION}>")
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns with n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
     The label of a base phrase is always among labels. score is that of the best match left, 1 for a base
-    phrase and 0 without any. A null or empty text has no words and no labels ('').
+    phrase and 0 without any. A null or empty text has no words and no labels (''). Clashing names follow common.kept.
+    Work grows with the words of a text and the matches in it, not with their square.
     """
+    keep = kept(keep, RESULTS)
     body = F.trim(F.regexp_replace(whole_text(text), SEPARATORS, " "))
     rows = docs.select(*keep, body.alias("_body"))
     rows = rows.select(*keep, F.when(F.col("_body") == "", "").otherwise(F.concat(F.lit(" "), "_body", F.lit(" "))).alias("_flat"))
