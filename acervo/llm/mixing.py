@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from acervo.llm.common import WORD, materialize, read
+from acervo.llm.common import WORD, kept, materialize, read
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -51,10 +51,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
 
     taken counts the words that the mix takes from the row, repeats included; at the cut it is a part of the
     row. copies counts the epochs in which some of the row is taken. A null text has size 0, a null source is a
-    source of its own, ties of the key are equal rows. An empty table gives an empty result.
+    source of its own, ties of the key are equal rows but for kept columns, whose digest then decides. An empty table
+    gives an empty result. Clashing names follow common.kept.
     """
-    columns = dict.fromkeys(["doc_id", "source", *keep])
-    rows = sized(docs.select(*[F.col(c) for c in dict.fromkeys([*columns, text])]), text).select(*columns, "size", "_key")
+    columns = dict.fromkeys(["doc_id", "source", *kept(keep, ("size", "source_size", "target", "taken", "copies"))])
+    rows = sized(docs.select(*dict.fromkeys([*columns, text])), text).select(*columns, "size", "_key", F.xxhash64(*columns).alias("_tie"))
     rows = materialize(rows.withColumn("_range", F.substring("_key", 1, RANGE_HEX)), "sized")
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     aim = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, epochs)
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     ranges = ranges.withColumn("_offset", F.coalesce(offset, F.lit(0))).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_offset")
     aim = aim.withColumnRenamed("source", "_t")
     ranges = ranges.join(aim, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    inside = W.partitionBy("source", "_range").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     budget = F.floor("target").cast("long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.llm.common import WORD, mapped, read, rows_of, whole_text
+from acervo.llm.common import WORD, kept, mapped, read, rows_of, whole_text
 
 #: Bit of each rule, by name. A bit never changes its meaning; new rules get new bits.
 RULES = {
@@ -99,8 +99,10 @@ def failure_bits() -> Column:
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, every measurement and failed (the rules' bits).
 
-    A row for each row of docs, repeated ones too. A null or empty text has zero for every measurement.
+    A row for each row of docs, repeated ones too. A null or empty text has zero for every measurement. Clashing
+    names follow common.kept.
     """
+    keep = kept(keep, (*[part.split()[0] for part in MEASURES.split(",")], "failed"))
     schema = docs.select(*keep).schema
     for part in MEASURES.split(","):
         schema = schema.add(part.split()[0], "long")

@@ -223,7 +223,7 @@ def _blocks(ranked, kind: str):
 def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end: int = END_ID) -> DataFrame:
     """Writes the ids of docs under path: blocks in ascending doc_id order, and the ranks beside them.
 
-    Nulls of doc_id come first, equal doc_ids are ordered by their ids. A null text is empty and has the end id
+    Nulls of doc_id come first, equal doc_ids are ordered by their ids' hash (xxhash64). A null text is empty and has the end id
     alone. The rank table has a row for each id that occurs, at most the vocabulary. Returns the blocks, reread.
     """
     spark = docs.sparkSession
@@ -234,7 +234,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, text: str = "text", end:
     ranks = np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     spark.createDataFrame([(int(i),) for i in ranks], "id long").coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(ranks)
-    ordered = coded.where("_ids IS NOT NULL").select("doc_id", "_ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_ids")
+    ordered = coded.where("_ids IS NOT NULL").select("doc_id", "_ids").withColumn("_hash", F.xxhash64("_ids"))
+    # the ids' hash spreads a doc_id that many rows have
+    ordered = ordered.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "_ids").drop("_hash")
     schema = "part int, block int, inside long, doc_ids array<long>, n_ids long, body binary"
     ordered.transform(mapped, _blocks(shared, kind), schema).write.option("compression", "none").parquet(f"{path}/blocks")
     return spark.read.schema(schema).parquet(f"{path}/blocks")

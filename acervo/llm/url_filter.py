@@ -1,6 +1,6 @@
 """URL filters: host-suffix and path-prefix expressions joined with a rule table by short hash prefixes.
 
-Each distinct URL is expanded into the expressions (host suffix + path prefix) that a rule could have; an
+Each distinct URL is expanded into the expressions (host suffix + path prefix) that a rule could have; a distinct
 expression's SHA-256 is cut to a short prefix for an equality join, the full digest confirms, and the longest
 rule wins. Rules may be many millions: they are joined, never collected. Only the distinct lengths of rule
 paths reach the driver, and a URL's length bounds those.
@@ -58,9 +58,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("_path"))
     asked = asked.select("_url", "_path", F.explode(suffixes).alias("_suffix"))
     asked = asked.select("_url", "_suffix", F.explode(F.transform(fitting, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_start"))
-    asked = asked.select("_url", F.length("_suffix").alias("_host_length"), F.sha2(F.concat("_suffix", "_start"), 256).alias("_digest"))
-    asked = asked.withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
-    hits = asked.join(key, "_short").where((F.col("_digest") == F.col("_full")) & (F.col("_host_length") == F.length("_rule_host")))
+    asked = asked.select("_url", F.length("_suffix").alias("_host_length"), F.unhex(F.sha2(F.concat("_suffix", "_start"), 256)).alias("_digest"))
+    # an expression that very many URLs have ("com/") meets the rules once; the rules that fit any then go back to the URLs
+    single = asked.select("_digest", "_host_length").distinct().withColumn("_hex", F.lower(F.hex("_digest")))
+    single = single.withColumn("_short", F.substring("_hex", 1, PREFIX_HEX))
+    fits = single.join(key, "_short").where((F.col("_hex") == F.col("_full")) & (F.col("_host_length") == F.length("_rule_host")))
+    fits = fits.select("_digest", "_host_length", "_rule", "_rule_verdict").distinct()
+    hits = asked.join(fits, ["_digest", "_host_length"])
     order = F.struct(F.length("_rule"), "_host_length", F.col("_rule_verdict") == "block", "_rule")
     best = hits.groupBy("_url").agg(F.max_by(F.struct("_rule", "_rule_verdict"), order).alias("_best"))
     joined = pages.join(best, pages[url] == best["_url"], "left")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from acervo.llm.common import mapped, materialize, read, rows_of, whole_text
+from acervo.llm.common import kept, mapped, materialize, read, rows_of, whole_text
 
 K = 24
 WINDOW = 27
@@ -125,7 +125,11 @@ def _listed(k: int, window: int):
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns with fingerprint: the chosen (hash, position) pairs in order; a null text has none."""
+    """keep's columns with fingerprint: the chosen (hash, position) pairs in order; a null text has none.
+
+    Clashing names follow common.kept.
+    """
+    keep = kept(keep, ("fingerprint",))
     schema = docs.select(*keep).schema.add("fingerprint", ArrayType(StructType().add("hash", "long").add("position", "long")))
     return docs.select(*keep, whole_text(text).alias("_text")).transform(mapped, _listed(k, window), schema)
 
@@ -183,11 +187,13 @@ def against_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
     """For each document its fingerprint, that of its edited text and the likeness to both it and the next document.
 
     The next document has the next doc_id, and the first follows the last; a lone document follows itself. Null
-    doc_ids come first, and equal ones are ordered by their text. Texts are dealt out in ranges of doc_id; only
+    doc_ids come first, and equal ones are ordered by their text's hash (xxhash64), then the text. Texts are dealt out in ranges of doc_id; only
     a range's first and last text leave it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
+    # the text's hash spreads a doc_id that many rows have; equal texts come together, and their order is that of the hash
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    ordered = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "_text").drop("_hash")
     done = materialize(ordered.transform(mapped, _neighbours, f"{FOUND}, {EDGE}"), "winnowed")
     inner = done.where("part IS NULL").select(*_FOUND)
     edges = done.where("part IS NOT NULL")
