@@ -87,14 +87,22 @@ def test_forest(monkeypatch, block):
     assert all(far[i, j] == bits for i, j, bits in found)
 
 
-def test_shared_values():
+@pytest.mark.parametrize("crowd", [4096, 3, 2])
+def test_shared_values(monkeypatch, crowd):
     import pyarrow as pa
 
-    rows = [(1, 10, True), (2, 1, True), (2, 5, False), (2, 7, False), (3, 1, False), (3, 2, False), (4, 1, True), (4, 2, True), (9, 3, True)]
-    expected = [(2, 1), (2, 5), (2, 7), (4, 1), (4, 2)]
-    for size in (1, 2, 3, 4, 9):
-        batches = [pa.RecordBatch.from_pydict({"value": pa.array([r[0] for r in part], pa.int32()), "node": pa.array([r[1] for r in part], pa.int64()), "own": [r[2] for r in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
-        assert sorted((r["value"], r["node"]) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()) == expected
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    far = -1
+    rows = [(1, 10, True, 0), (2, 1, True, 0), (2, 5, False, 3), (2, 7, False, far), (3, 1, False, 0), (3, 2, False, 0), (4, 1, True, 0), (4, 2, True, 1), (5, 1, True, 0), (5, 2, False, far)]
+    rows += [(6, n, n < 2, n % 2 - 1) for n in range(7)] + [(9, 3, True, 0)]
+    least = [(2, 1), (2, 5), (4, 1), (4, 2)]
+    for size in (1, 2, 3, 4, 9, 50):
+        kinds = {"value": pa.int32(), "node": pa.int64(), "own": pa.bool_(), "further": pa.int64()}
+        parts = (rows[i : i + size] for i in range(0, len(rows), size))
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(kinds.values())], list(kinds)) for part in parts]
+        got = sorted((r["value"], r["node"]) for b in near_copies._shared(iter(batches)) for r in b.to_pylist())
+        expected = least + [(2, 7)] * (crowd == 2) + [(6, n) for n in range(7)]  # all of a crowd stay
+        assert got == sorted(expected), size
 
 
 @pytest.mark.parametrize("crowd", [4096, 4])
