@@ -7,9 +7,13 @@ an anchor holds all their copies, and only anchors that occur twice matter:
 1. Every text's anchors are listed; texts that are whole copies of each other count as one.
 2. The anchors' hashes are dealt out; those that only one place has are dropped.
 3. Each text with anchors left gives, for each, the segment of bytes that the anchor's windows cover.
-4. A shard gathers whole groups of segments and keeps distinct ones, but for those that agree with no other of
-   their group over LENGTH bytes around the anchor. It builds one suffix array by induced sorting. Where the permuted common prefix of a suffix or its successor in the array reaches LENGTH, a window repeats.
-5. The windows go back to their texts, which merge them and drop their bytes.
+4. Distinct segments are found before they are dealt out; what recurs byte for byte is marked as a whole. The
+   groups of an anchor with over CROWD distinct segments are split by the bytes beside the anchor: two segments with
+   a window in common agree in at least 84 bytes before or behind it, so each goes to two smaller groups.
+5. A shard gathers whole groups, without the segments that agree with no other of their group over LENGTH bytes around
+   the anchor. It builds one suffix array by induced sorting. Where the permuted common prefix of a suffix or its
+   successor in the array reaches LENGTH, a window repeats.
+6. The windows go back to their texts, which merge them and drop their bytes.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from acervo.llm.winnowing import gram_hashes, window_minimum
 
 LENGTH = 200
 GRAM = 32
+#: Distinct segments of an anchor from which on they are split by their surroundings.
+CROWD = 256
 #: Bytes of distinct segments that a shard gathers before it is sorted; one anchor's group is never divided.
 SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 22
@@ -90,50 +96,50 @@ def _listed(length: int):
     return run
 
 
+def _keys(column: pa.Array) -> np.ndarray:
+    """Keys of 16 bytes as two numbers each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by hash, those of a hash that two different places have; a hash's first row waits for another."""
-    waiting: tuple[int, int, int, bool] | None = None  # hash, text, number, whether it is out
+    waiting: tuple[int, np.ndarray, int, bool] | None = None  # hash, text, number, whether it is out
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, t, i = (batch.column(c).to_numpy() for c in ("hash", "text_key", "number"))
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        head_t, head_i = t[head], i[head]
-        out = np.zeros(len(h), bool)
-        extra_t, extra_i, known = [], [], False
-        if waiting and waiting[0] == h[0]:  # the run goes on
-            run = head == 0
-            head_t, head_i = np.where(run, waiting[1], head_t), np.where(run, waiting[2], head_i)
-        differs = (t != head_t) | (i != head_i)
+        h, t, i = batch.column("hash").to_numpy(), _keys(batch.column("text_key")), batch.column("number").to_numpy()
+        goes_on = waiting is not None and waiting[0] == h[0]
+        new = np.append(True, h[1:] != h[:-1])
         runs = np.flatnonzero(new)
-        any_differs = np.logical_or.reduceat(differs, runs)
         width = np.diff(runs, append=len(h))
-        out = np.repeat(any_differs, width)
-        if waiting and waiting[0] == h[0]:
-            known = waiting[3]
-            if known:
-                out[: width[0]] = True
-            elif any_differs[0]:
-                extra_t, extra_i, known = [waiting[1]], [waiting[2]], True
+        head = np.repeat(runs, width)
+        head_t, head_i = t[head], i[head]
+        if goes_on:  # the first run's head came earlier
+            head_t[: width[0]], head_i[: width[0]] = waiting[1], waiting[2]
+        differs = (t != head_t).any(axis=1) | (i != head_i)
+        repeats = np.logical_or.reduceat(differs, runs)
+        late = goes_on and not waiting[3] and repeats[0]  # the head is out only now
+        if goes_on:
+            repeats[0] |= waiting[3]
+        out = np.repeat(repeats, width)
+        keys, numbers = [x.tobytes() for x in t[out]], i[out].astype(np.int32)
+        if late:
+            keys, numbers = [*keys, waiting[1].tobytes()], np.append(numbers, np.int32(waiting[2]))
         last = runs[-1]
-        if len(runs) == 1 and waiting and waiting[0] == h[0]:
-            waiting = (waiting[0], waiting[1], waiting[2], known)
-        else:
-            waiting = (int(h[last]), int(t[last]), int(i[last]), bool(any_differs[-1]))
-        columns = [pa.array(np.concatenate([t[out], np.array(extra_t, np.int64)])), pa.array(np.concatenate([i[out], np.array(extra_i, np.int32)]).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["text_key", "number"])
+        first = waiting[1:3] if goes_on and len(runs) == 1 else (t[last].copy(), int(i[last]))
+        waiting = (int(h[last]), *first, bool(repeats[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32())], ["text_key", "number"])
 
 
 # --- segments --------------------------------------------------------------------------------------------------
-PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key long, starts array<long>, anchor long"
+PIECE = "sha binary, text binary, n_copies long, hash long, segment binary, segment_key binary, text_key binary, starts array<long>, anchor long"
 
 
 def _segments(length: int):
     """For each text a row with its bytes (unless it is removed whole), and a row for each distinct segment of its repeated anchors."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
         names = [part.split()[0] for part in PIECE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -209,53 +215,47 @@ def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _marked(length: int):
-    """Repeated windows of each distinct segment; rows come sorted by hash and segment."""
+    """Repeated windows of each segment; rows (of distinct segments) come sorted by hash and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the shard: segments that need sorting; of the open group: its distinct segments and whether each repeats
+        # of the shard: segments that need sorting; of the open group: its segments, with the anchor's place
         shard: list[tuple[int, bytes, bytes]] = []
         held = 0
-        group: list[list] = []
+        group: list[tuple[int, bytes, bytes, int]] = []
         current = None
-        done: list[tuple[int, bytes, int, int]] = []
+        done: list[tuple[int, bytes, list]] = []  # a row for each segment with repeated windows
 
         def close_group() -> None:
             nonlocal held, group
             if len(group) > 1:
                 for i in candidates([g[2] for g in group], [g[3] for g in group], length):
-                    shard.append(tuple(group[i][:3]))
+                    shard.append(group[i][:3])
                     held += len(group[i][2])
-            for hash_, key, segment, _, repeats, _ in group:
-                if repeats:
-                    done.append((hash_, key, 0, len(segment) - length))
             group = []
 
         def sort_shard() -> None:
             nonlocal shard, held
             if shard:
                 for (hash_, key, _), found in zip(shard, repeated_windows([s for _, _, s in shard], length), strict=True):
-                    done.extend((hash_, key, a, b) for a, b in _ranges(found))
+                    if len(found):
+                        done.append((hash_, key, _ranges(found)))
             shard, held = [], 0
 
         def emit() -> pa.RecordBatch:
             nonlocal done
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], ["hash", "segment_key", "first", "last"])
+            ranges = pa.array([[{"first": a, "last": b} for a, b in r[2]] for r in done], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.binary()), ranges], ["hash", "segment_key", "marks"])
             done = []
             return out
 
-        names = ("hash", "segment_key", "segment", "n_copies", "text_key", "n_starts", "anchor")
         for batch in rows_of(batches):
-            for hash_, key, segment, copies, text, n_starts, anchor in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if hash_ != current:
+            for hash_, side, key, segment, anchor in zip(*(batch.column(c).to_pylist() for c in ("hash", "side", "segment_key", "segment", "anchor")), strict=True):
+                if (hash_, side) != current:
                     close_group()
-                    current = hash_
+                    current = (hash_, side)
                     if held >= SHARD_BYTES:
                         sort_shard()
-                if group and group[-1][1] == key:
-                    group[-1][4] |= copies > 1 or n_starts > 1 or group[-1][5] != text
-                else:
-                    group.append([hash_, key, segment, anchor, copies > 1 or n_starts > 1, text])
+                group.append((hash_, key, segment, anchor))
             if done:
                 yield emit()
         close_group()
@@ -285,10 +285,28 @@ def _cleaned(length: int):
     return run
 
 
+MARKS = "array<struct<first:bigint,last:bigint>>"
 CLEANED_NAMES = ["sha", "n_removed", "n_spans", "kept_sha256", "spans"]
 CLEANED = "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:bigint,end:bigint>>"
 
 
+def _marks(segments: DataFrame, length: int) -> DataFrame:
+    """hash, segment_key and marks: where windows start that occur in another place too; one or two rows a segment."""
+    repeats = (F.max("n_copies") > 1) | (F.max(F.size("starts")) > 1) | (F.min("text_key") != F.max("text_key"))
+    distinct = segments.groupBy("hash", "segment_key").agg(F.first("segment").alias("segment"), F.first("anchor").alias("anchor"), repeats.alias("repeats"))
+    distinct = materialize(distinct, "distinct")
+    groups = distinct.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("hash").alias("_hash"), (F.col("_n") > CROWD).alias("_crowd"))
+    beside = (length - GRAM) // 2
+    before = F.when(F.col("anchor") >= beside, F.xxhash64(F.lit(1), F.substring("segment", F.col("anchor") - beside + 1, F.lit(beside))))
+    behind = F.when(F.length("segment") >= F.col("anchor") + GRAM + beside, F.xxhash64(F.lit(2), F.substring("segment", F.col("anchor") + GRAM + 1, F.lit(beside))))
+    sides = F.when(F.col("_crowd"), F.filter(F.array(before, behind), lambda x: x.isNotNull())).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = distinct.join(groups, F.col("hash") == F.col("_hash")).select("hash", F.explode(sides).alias("side"), "segment_key", "segment", "anchor")
+    dealt = dealt.repartition("hash", "side").sortWithinPartitions("hash", "side")
+    marks = dealt.transform(mapped, _marked(length), f"hash long, segment_key binary, marks {MARKS}")
+    everywhere = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.length("segment") - length).cast("long").alias("last")))
+    return marks.unionByName(distinct.where("repeats").select("hash", "segment_key", everywhere.cast(MARKS).alias("marks")))
+
+
 def removals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, sha (SHA-256 of the text's bytes), n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges).
 
@@ -298,25 +316,25 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"))
     listed = materialize(rows.transform(mapped, _listed(length), "doc_id long, sha binary, n_bytes long, hashes array<long>, numbers array<int>"), "anchors")
     texts = listed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    places = listed.select(F.xxhash64("sha").alias("text_key"), F.explode(F.arrays_zip("numbers", "hashes")).alias("_p"))
+    text_key = F.substring("sha", 1, 16)
+    places = listed.select(text_key.alias("text_key"), F.explode(F.arrays_zip("numbers", "hashes")).alias("_p"))
     places = places.select("text_key", F.col("_p.numbers").alias("number"), F.col("_p.hashes").alias("hash"))
     places = places.repartition("hash").sortWithinPartitions("hash")
-    again = places.transform(mapped, _repeated, "text_key long, number int")
+    again = places.transform(mapped, _repeated, "text_key binary, number int")
     chosen = again.groupBy("text_key").agg(F.collect_list("number").alias("numbers"))
-    chosen = texts.withColumn("text_key", F.xxhash64("sha")).join(chosen, "text_key")
+    chosen = texts.withColumn("text_key", text_key).join(chosen, "text_key")
     chosen = chosen.select(F.col("sha").alias("_sha"), F.col("rep").alias("_rep"), "n_copies", "text_key", "numbers")
     hashed = rows.withColumn("sha", F.unhex(F.sha2("_text", 256)))
     found = hashed.join(chosen, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_rep")))
     pieces = found.select("_text", "sha", "n_copies", "text_key", "numbers").transform(mapped, _segments(length), PIECE)
     pieces = materialize(pieces, "segments")
     segments = pieces.where("segment IS NOT NULL")
-    sorted_ = segments.select("hash", "segment_key", "segment", "n_copies", "text_key", F.size("starts").alias("n_starts"), "anchor").repartition("hash").sortWithinPartitions("hash", "segment_key")
-    marks = sorted_.transform(mapped, _marked(length), "hash long, segment_key binary, first long, last long")
-    marks = marks.select(F.col("hash").alias("_hash"), F.col("segment_key").alias("_key"), "first", "last")
-    windows = segments.select("hash", "segment_key", "text_key", F.explode("starts").alias("start")).join(marks, (F.col("segment_key") == F.col("_key")) & (F.col("hash") == F.col("_hash")))
-    windows = windows.groupBy("text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("ranges"))
+    marks = _marks(segments, length).select(F.col("hash").alias("_hash"), F.col("segment_key").alias("_key"), "marks")
+    windows = segments.select("hash", "segment_key", "text_key", "starts").join(marks, (F.col("segment_key") == F.col("_key")) & (F.col("hash") == F.col("_hash")))
+    ranges = F.flatten(F.transform("starts", lambda start: F.transform("marks", lambda m: F.struct((start + m["first"]).alias("a"), (start + m["last"]).alias("b")))))
+    windows = windows.groupBy("text_key").agg(F.flatten(F.collect_list(ranges)).alias("ranges"))
     windows = windows.withColumnRenamed("text_key", "_text_key")
-    bodies = pieces.where("text IS NOT NULL").select("sha", "text").withColumn("_text_key", F.xxhash64("sha"))
+    bodies = pieces.where("text IS NOT NULL").select("sha", "text").withColumn("_text_key", text_key)
     cleaned = bodies.join(windows, "_text_key").select("sha", "text", "ranges").transform(mapped, _cleaned(length), CLEANED)
     cleaned = cleaned.select(F.col("sha").alias("_sha"), *CLEANED_NAMES[1:])
     whole = texts.select(F.col("sha").alias("_sha2"), "n_copies")

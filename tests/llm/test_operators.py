@@ -278,7 +278,9 @@ def plain_removed(texts, length):
     return gone
 
 
-def test_substring_dedup(spark, nothing):
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_substring_dedup(spark, nothing, monkeypatch, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng = random.Random(7)
     passage, other = words(rng, 60), "ab" * 150
     texts = [None, "", "short", passage, passage, other, *(words(rng, 50) + passage[i : i + 260] + words(rng, 30) for i in (0, 3, 50)), "é" * 99 + "x", "é" * 150, words(rng, 300)]
@@ -469,3 +471,21 @@ def test_url_filter(spark):
     both(map(tuple, got), [(i, *plain_verdict(u)) for i, u, *_ in rows])
     assert url_filter.judge(table.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge(table, rules.limit(0)).collect()} == {url_filter.DEFAULT}
+
+
+# --- names ------------------------------------------------------------------------------------------------------
+def test_kept_columns_that_clash(spark):
+    """A kept column with a result's name gives way to the result; a kept name that begins with _ is an error."""
+    table = spark.createDataFrame([(1, "a b c", "s", 9, 9, 9, 9)], "doc_id long, text string, source string, size long, failed long, fingerprint long, component_id long")
+    assert mixing.mix(table, keep=("size", "text")).select("size").first()[0] == 3
+    assert rule_ledger.ledger(table, keep=("doc_id", "failed", "size")).columns[:2] == ["doc_id", "size"]
+    assert winnowing.fingerprints(table, keep=("doc_id", "fingerprint")).columns == ["doc_id", "fingerprint"]
+    rows = simhash.classes(simhash.fingerprints(table.withColumn("fp", table.size), keep=("doc_id", "component_id", "fp")))
+    assert rows.first().component_id == 1 and rows.first().fp == 9
+    for operator in (winnowing.fingerprints, rule_ledger.ledger, simhash.fingerprints, mixing.mix):
+        with pytest.raises(ValueError, match="begin with _"):
+            operator(table, keep=("_text",))
+
+
+def test_sizes_of_settings():
+    assert [common.setting_bytes(x) for x in ("64", "64m", "8MB", "1g", "-1")] == [64, 64 << 20, 8 << 20, 1 << 30, 1 << 62]
