@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Ids that a block gathers before it is closed; a single document may make it longer.
 BLOCK_IDS = 1 << 20
-#: Encoded pieces that a worker remembers.
+#: Encoded pieces that a worker remembers, and those of the texts at hand.
 CACHE = 600_000
 MAGIC = b"ACV1"
 HEADER = struct.Struct("<4sIQQ")  # magic, documents, values, data bytes
@@ -86,18 +85,23 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 # --- encoding --------------------------------------------------------------------------------------------------
 @lru_cache(maxsize=2)
 def _coder(path: str):
-    from tokenizers import Tokenizer
+    """The tokenizer, its model behind blanks alone (for plain pieces), the ids that close a word, and the pieces met lately."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    coder = Tokenizer.from_file(path)
+    coder, model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    model.normalizer = None
+    model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     closes = np.zeros(coder.get_vocab_size() + 1, bool)
     closes[[i for token, i in coder.get_vocab().items() if token.endswith("</w>")]] = True
-    return coder, [{}, {}], closes
+    return coder, model, closes, {}
 
 
 #: A text without these has only ASCII and Latin letters, which are lower-cased one by one and are composed.
 _OTHER = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
 #: The vocabulary's pre-tokens in such a text, after lower-casing. Its blanks are space and tab to carriage return.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+#: Pre-tokens that the normalizer leaves as they are and that stand between blanks as they do in a text.
+_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
 
 
 def pieces(text: str) -> list[str]:
@@ -112,37 +116,28 @@ def pieces(text: str) -> list[str]:
 
 
 def _coded(words: list[str], path: str) -> list[bytes]:
-    """The ids of distinct pieces. What was met lately is remembered, in a younger and an older half."""
-    coder, halves, closes = _coder(path)
-    width = id_bytes(path)
-    if len(halves[0]) > CACHE // 2:
-        halves[:] = [{}, halves[0]]
-    young, old = halves
-    found = list(map(young.get, words))
-    unknown = [i for i, ids in enumerate(found) if ids is None]
-    missing = []
-    for i in unknown:
-        ids = old.get(words[i])
-        if ids is None:
-            missing.append(i)
-        else:
-            found[i] = young[words[i]] = ids
-    plain = [i for i in missing if _PIECE.fullmatch(words[i])]
-    rest = [i for i in missing if not _PIECE.fullmatch(words[i])]
-    for start in range(0, len(plain), 2000):  # single pre-tokens: each ends with the one id that closes a word
-        part = plain[start : start + 2000]
-        row = np.array(coder.encode_batch_fast([[words[i] for i in part]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-        ends = ((np.flatnonzero(closes[row]) + 1) * width).tolist()
+    """The ids of distinct pieces. Each is encoded once and remembered; beyond CACHE pieces, the last words alone are."""
+    coder, model, closes, known = _coder(path)
+    kind = f"<u{id_bytes(path)}"
+    new = [w for w, ids in zip(words, map(known.get, words), strict=True) if ids is None]
+    plain, rest = [w for w in new if _PLAIN.fullmatch(w)], [w for w in new if not _PLAIN.fullmatch(w)]
+    for start in range(0, len(plain), 200):  # each ends with the one id that closes a word
+        part = plain[start : start + 200]
+        row = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
+        ends = ((np.flatnonzero(closes[row]) + 1) * row.itemsize).tolist()
         if len(ends) != len(part):
             rest += part
             continue
-        row = row.astype(f"<u{width}").tobytes()
-        for i, a, b in zip(part, [0, *ends], ends):  # noqa: B905
-            found[i] = young[words[i]] = row[a:b]
+        row = row.tobytes()
+        known.update(zip(part, [row[a:b] for a, b in zip([0, *ends], ends)], strict=True))  # noqa: B905
     for start in range(0, len(rest), 2000):
         part = rest[start : start + 2000]
-        for i, e in zip(part, coder.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-            found[i] = young[words[i]] = array("H" if width == 2 else "I", e.ids).tobytes()
+        for w, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, kind).tobytes()
+    found = list(map(known.__getitem__, words))
+    if len(known) > CACHE:
+        known.clear()
+        known.update(zip(words, found, strict=True))
     return found
 
 
@@ -155,7 +150,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
     number = numbered.indices.to_numpy()
     width = id_bytes(path)
-    ids = _coded(numbered.dictionary.to_pylist(), path)
+    ids = _coded(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
     length = np.fromiter(map(len, ids), np.int64, len(ids)) // width
     size = length[number]
     ends = np.concatenate([[0], np.cumsum(size)])

@@ -446,9 +446,14 @@ def test_pieces_are_the_tokenizers():
     plain = Tokenizer.from_file(vocabulary)
     rng = random.Random(5)
     signs = ["a", "B", "é", "'s", "'", "S", "t", "re", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "1", "23", "²", "ª", "µ", "ß", "!", "<|endoftext|>", "<|", "|>", "İ", "Σ", "\u0301", "中", "😀", "ﬁ", "\x00", "Ÿ", "×"]
+    texts = ["мир \xa0 я- слово", "ABC 中 Él-É я", "a' 's 't''s x"]
     for _ in range(2000):
         text = "".join(rng.choice(signs[: rng.choice([16, len(signs)])]) for _ in range(rng.randrange(12)))
+        texts.append(text)
         assert np.frombuffer(token_files.encode_texts([text], vocabulary)[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    token_files._coder(vocabulary)[3].clear()  # all at once, nothing known
+    for text, ids in zip(texts, token_files.encode_texts(texts, vocabulary), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------
