@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import clipped, percent, session_id, title
 from acervo.operators import chunking, entities, grammar, index, rerank, search
+from acervo.sources import files as file_source
+from acervo.sources import knowledge
 
 TOP_K = 5
 ANSWER_DOCS, EXCERPT, SHOWN_ENTITIES, SHOWN_HISTORY = 3, 300, 20, 20
@@ -116,6 +118,32 @@ def counted(names: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(pairs), lambda p: F.struct(p["name"], (-p["less"]).cast("long"))))
 
 
+# --- additions -------------------------------------------------------------------------------------------------
+def add_texts(docs: DataFrame, base: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """The corpus after the chunks of docs (doc_id, text, fonte) are added to the base.
+
+    As with documents, earlier additions go. Where docs give no chunk, the current corpus (the base, if none is
+    given) stays as it is.
+    """
+    chunks = chunking.structural_chunks(docs, F.col("fonte"))
+    if chunks.isEmpty():
+        return base if current is None else current
+    return knowledge.add_documents(base, knowledge.chunks_as_documents(chunks))
+
+
+def upload(files: DataFrame, base: DataFrame, current: DataFrame | None = None, **readers) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content) as records of their analysis, and the corpus with their chunks.
+
+    A record has path, error and, where the text could be read, what `analyze` finds, with chunks_adicionados. A
+    file's source is its name. Files with an error add nothing.
+    """
+    texts = file_source.extract_text(files, **readers)
+    docs = texts.where("error IS NULL").select(F.col("path").alias("doc_id"), "text", F.element_at(F.split("path", "/"), -1).alias("fonte"))
+    records = analyze(docs, F.col("fonte")).withColumnRenamed("doc_id", "path").withColumn("chunks_adicionados", F.col("num_chunks"))
+    failed = texts.where("error IS NOT NULL").select("path", "error")
+    return records.unionByName(failed, allowMissingColumns=True), add_texts(docs, base, current)
+
+
 # --- history ---------------------------------------------------------------------------------------------------
 def append_history(records: DataFrame, path: str) -> None:
     """Appends records (with seq) to the history."""

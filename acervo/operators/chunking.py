@@ -68,6 +68,12 @@ def _segments(text: Column, source: Column) -> Column:
     return F.filter(let(F.split(text, "\n", -1), of_lines), lambda s: s["conteudo"] != "")
 
 
+def _named(docs: DataFrame, source: Column | None) -> DataFrame:
+    """doc_id, _text and fonte, nulls as empty; a step of its own, as docs may have a column fonte that source reads."""
+    source = F.lit("") if source is None else source
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(source, F.lit("")).alias("fonte"))
+
+
 def segments(docs: DataFrame, source: Column | None = None) -> DataFrame:
     """doc_id, seg, tipo, conteudo, hierarquia, linha of every segment between structural lines.
 
@@ -75,8 +81,7 @@ def segments(docs: DataFrame, source: Column | None = None) -> DataFrame:
     texto_livre. The hierarchy holds the last label of each level that no higher level has cleared since. Blank
     segments are left out.
     """
-    source = F.coalesce(F.lit("") if source is None else source, F.lit(""))
-    rows = docs.select("doc_id", source.alias("fonte"), F.explode(_segments(F.coalesce("text", F.lit("")), source)).alias("s"))
+    rows = _named(docs, source).select("doc_id", "fonte", F.explode(_segments(F.col("_text"), F.col("fonte"))).alias("s"))
     return rows.select("doc_id", "s.seg", "s.tipo", "s.conteudo", "s.hierarquia", "s.linha", "fonte")
 
 
@@ -122,8 +127,7 @@ def chunk_id(number: Column) -> Column:
 
 def structural_chunks(docs: DataFrame, source: Column | None = None, most: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
     """Chunks of docs (doc_id, text): segments, and pieces of those over `most` characters, numbered in each row of docs."""
-    source = F.coalesce(F.lit("") if source is None else source, F.lit(""))
-    rows = docs.select("doc_id", source.alias("fonte"), F.posexplode(chunk_array(F.coalesce("text", F.lit("")), source, most, overlap)).alias("_n", "c"))
+    rows = _named(docs, source).select("doc_id", "fonte", F.posexplode(chunk_array(F.col("_text"), F.col("fonte"), most, overlap)).alias("_n", "c"))
     return rows.select("doc_id", chunk_id(F.col("_n")).alias("chunk_id"), "c.tipo", "c.conteudo", "c.hierarquia", "fonte", "c.tamanho", "c.lin_ini", "c.lin_fim")
 
 
@@ -145,10 +149,14 @@ def article_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def simple_chunks(docs: DataFrame) -> DataFrame:
-    """The light engine's chunks: as article_chunks, and the whole text where nothing remains."""
-    text = F.coalesce("text", F.lit(""))
+def simple_pieces(text: Column) -> Column:
+    """The light engine's chunks as an array of type and content: as article_chunks, and the whole text where nothing remains."""
     pieces = F.filter(F.transform(F.split(text, rf"(?={ARTICLE_START})", -1), strip), lambda p: p != "")
-    rows = docs.select("doc_id", F.posexplode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(text))).alias("n", "content"))
-    number = F.regexp_extract("content", rf"\AArt\.{S}*([0-9]+)", 1)
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.when(number != "", F.concat(F.lit("Artigo "), number)).otherwise("Texto").alias("type"), "content")
+    number = lambda p: F.regexp_extract(p, rf"\AArt\.{S}*([0-9]+)", 1)
+    row = lambda p: F.struct(F.when(number(p) != "", F.concat(F.lit("Artigo "), number(p))).otherwise("Texto").alias("type"), p.alias("content"))
+    return F.transform(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(text)), row)
+
+
+def simple_chunks(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(simple_pieces(F.coalesce("text", F.lit("")))).alias("n", "c"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), "c.type", "c.content")

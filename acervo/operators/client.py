@@ -11,6 +11,7 @@ from acervo.functions.regexes import literal
 from acervo.functions.folds import scan
 from acervo.functions.spans import matches, placed
 from acervo.functions.text import client_tokens
+from acervo.operators import chunking
 
 K1, B, ALPHA = 1.5, 0.75, 0.5
 MIN_SCORE, TOP = 0.01, 5
@@ -189,6 +190,26 @@ def correction_rows(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").cast("long").alias("n"), "c.tipo", "c.severidade", "c.texto_original", "c.sugestao", "c.explicacao", F.col("c.ini").cast("long").alias("ini"), F.col("c.fim").cast("long").alias("fim"))
 
 
+# --- analysis --------------------------------------------------------------------------------------------------
+#: Types of entities that an analysis lists as references.
+REFERENCES = ("lei", "artigo", "sumula", "jurisprudencia")
+
+
+def analyze(docs: DataFrame, source: Column | None = None) -> DataFrame:
+    """One record for each text of docs (doc_id, text), without a shuffle: chunks, entities, corrections, references.
+
+    A null text is empty: one empty chunk and nothing else. Repeated doc_ids have a record each.
+    """
+    fonte = F.lit("Texto Colado") if source is None else source
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("texto_original"), fonte.alias("fonte"))
+    text = F.col("texto_original")
+    chunks = F.transform(chunking.simple_pieces(text), lambda c: F.struct(c["type"].alias("tipo"), c["content"].alias("conteudo")))
+    found = F.transform(entities(text), lambda e: F.struct(*[e[x].alias(x) for x in ("tipo", "valor", "texto_original", "confianca")]))
+    rows = rows.withColumns({"chunks": chunks, "entidades": found, "texto_corrigido": corrected(text), "correcoes": corrections(text)})
+    rows = rows.withColumn("referencias", F.filter("entidades", lambda e: e["tipo"].isin(*REFERENCES)))
+    return rows.withColumns({f"total_{x}": F.size(x).cast("long") for x in ("chunks", "entidades", "correcoes")})
+
+
 # --- answers and counters --------------------------------------------------------------------------------------
 def confidence(scores: Column) -> Column:
     """0.2 without results, else twice the mean score, 0.95 at most."""

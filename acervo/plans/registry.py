@@ -288,6 +288,16 @@ def document_analysis(spark, sf_dir):
     return rows.select("doc_id", "num_chunks", F.size("entidades").cast("long").alias("n_entidades"), F.size("correcoes").cast("long").alias("n_correcoes"), F.coalesce(F.size("referencias_cruzadas"), F.lit(0)).cast("long").alias("n_leis"))
 
 
+def uploaded(spark, sf_dir):
+    """Every text as a file: what its upload reports, and how many documents of the corpus are its chunks."""
+    docs = fx.legal(spark, sf_dir)
+    sent = docs.select(F.format_string("in/%012d.txt", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    base = knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", "metadata")
+    records, corpus = assistant.upload(sent, base)
+    held = corpus.groupBy(F.concat(F.lit("in/"), F.col("metadata")["fonte"]).alias("path")).agg(F.count("*").alias("n_no_indice"))
+    return records.select("path", "chunks_adicionados", F.size("entidades").cast("long").alias("n_entidades")).join(held, "path", "left")
+
+
 def consult(spark, sf_dir):
     base = knowledge.base_documents(spark).select("doc_idx", F.col("conteudo").alias("text"), F.col("metadata")["fonte"].alias("fonte"))
     return assistant.consult(base, fx.questions(spark)).select("query_id", "query_original", "query_corrigida", "resposta", F.round("score_confianca", DIGITS).alias("score_confianca"), F.to_json("temas").alias("temas"), F.to_json("referencias_normativas").alias("referencias"))
@@ -335,6 +345,12 @@ def client_corrected(spark, sf_dir):
     return client.correct(fx.legal(spark, sf_dir)).select("doc_id", "corrected")
 
 
+def client_analysis(spark, sf_dir):
+    joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit("="), x[b])), "|")
+    rows = client.analyze(fx.legal(spark, sf_dir))
+    return rows.select("doc_id", "total_chunks", joined("chunks", "tipo", "conteudo").alias("chunks"), "total_entidades", joined("referencias", "tipo", "valor").alias("referencias"))
+
+
 def client_answers(spark, sf_dir):
     base = spark.createDataFrame([(i, t, s) for i, (_, t, s, _) in enumerate(knowledge.CLIENT_BASE)], "doc_idx long, text string, source string")
     return client.process_queries(base, fx.questions(spark)).select("query_id", "query_corrigida", "resposta", F.round("score_confianca", DIGITS).alias("score_confianca"))
@@ -362,8 +378,8 @@ def queries() -> dict[str, Query]:
             bm25_topk, bm25_batch, bm25_zero_tie_order, cosine_topk, embedding_knn, embedding_knn_many, rerank_features, rerank_topk, rerank_explain, confidence,
             entities_all, entities_documents, entities_themes, entities_masked, entity_summary, cross_references,
             grammar_documents, corrected_text, correction_summary, severity_counts,
-            chunk_segments, chunk_structural, chunk_split, chunk_by_article, chunk_simple, document_analysis, consult, history_last20,
-            client_tokenize, client_bm25, client_jaccard, client_linear_fusion, client_entities, client_grouped, client_grammar, client_corrected, client_answers, session_counters, recent_activity,
+            chunk_segments, chunk_structural, chunk_split, chunk_by_article, chunk_simple, document_analysis, uploaded, consult, history_last20,
+            client_tokenize, client_bm25, client_jaccard, client_linear_fusion, client_entities, client_grouped, client_grammar, client_corrected, client_analysis, client_answers, session_counters, recent_activity,
         )
     }
     found |= {"rrf_hybrid": _hybrid(0.5), "rrf_hybrid_legal": _hybrid(0.5, legal=True), "hybrid_alpha0": _hybrid(0.0), "hybrid_alpha1": _hybrid(1.0)}
@@ -438,6 +454,7 @@ def oracle_sql() -> dict[str, str]:
         "client_linear_fusion": o.with_(o.LEGAL, o.CLIENT_INDEX) + f"SELECT query_id, doc_idx, round(least(1, raw), {DIGITS}) AS score, round(bm25 / 10, {DIGITS}) AS bm25, {r('semantic')}, row_number() OVER (PARTITION BY query_id ORDER BY least(1, raw) DESC, doc_idx) AS rank FROM (SELECT query_id, doc_idx, coalesce(bm25, 0) AS bm25, coalesce(semantic, 0) AS semantic, round(0.5 * (coalesce(bm25, 0) / 10) + 0.5 * coalesce(semantic, 0), 9) AS raw FROM bm FULL JOIN ja USING (query_id, doc_idx)) WHERE raw > 0.01 QUALIFY rank <= 5",
         "client_entities": o.with_(o.LEGAL, f"raw AS MATERIALIZED ({o.client_entity_rows()})") + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, pos) - 1 AS BIGINT) AS n, tipo, valor, texto_original, confianca FROM (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY doc_id, tipo, k ORDER BY ord, pos) = 1)",
         "client_grouped": o.with_(o.LEGAL, f"raw AS MATERIALIZED ({o.client_entity_rows()})") + "SELECT doc_id, tipo, string_agg(valor, '|' ORDER BY first) AS valores FROM (SELECT doc_id, tipo, valor, min(ord * 1000 + pos) AS first FROM raw GROUP BY ALL) GROUP BY doc_id, tipo",
+        "client_analysis": o.with_(o.LEGAL, article, f"raw AS MATERIALIZED ({o.client_entity_rows()})", f"""cut AS (SELECT doc_id, count(*) AS total_chunks, string_agg(CASE WHEN {number} <> '' THEN 'Artigo ' || {number} ELSE 'Texto' END || '=' || piece, '|' ORDER BY k) AS chunks FROM pieces GROUP BY doc_id)""", "firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY doc_id, tipo, k ORDER BY ord, pos) = 1)", "ents AS (SELECT doc_id, count(*) AS total_entidades, string_agg(tipo || '=' || valor, '|' ORDER BY ord, pos) FILTER (WHERE tipo IN ('lei', 'artigo', 'sumula', 'jurisprudencia')) AS referencias FROM firsts GROUP BY doc_id)") + "SELECT doc_id, total_chunks, chunks, coalesce(total_entidades, 0) AS total_entidades, coalesce(referencias, '') AS referencias FROM cut LEFT JOIN ents USING (doc_id)",
         "session_counters": "SELECT " + ", ".join(f"CAST(sum(event_id % 7) FILTER (WHERE event_id % 4 = {i}) AS BIGINT){' + 10' if k == 'documents' else ''} AS {k}" for i, k in enumerate(("queries", "entities", "corrections", "documents"))) + " FROM events",
         "recent_activity": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10",
     }

@@ -14,7 +14,7 @@ from acervo.plans import registry
 SF = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ("bm25_topk", "rrf_hybrid_legal", "rerank_topk", "entities_all", "grammar_all", "corrected_text", "chunk_segments", "chunk_by_article", "client_linear_fusion", "client_entities", "tfidf_vectors", "embedding_knn", "cross_references")
+CHEAP = ("bm25_topk", "rrf_hybrid_legal", "rerank_topk", "entities_all", "grammar_all", "corrected_text", "chunk_segments", "chunk_by_article", "client_linear_fusion", "client_entities", "client_analysis", "tfidf_vectors", "embedding_knn", "cross_references")
 
 
 def test_every_twin_has_a_query():

@@ -107,6 +107,28 @@ def test_added_documents(spark):
     assert knowledge.add_documents(base, docs.limit(0)).count() == 10
 
 
+def test_upload(spark, tmp_path):
+    (tmp_path / "lei.txt").write_text("Art. 1 A posse.\nArt. 2 O prazo.", encoding="utf-8")
+    (tmp_path / "vazio.txt").write_text(" \n", encoding="utf-8")
+    (tmp_path / "foto.png").write_bytes(b"x")
+    files_ = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    base = knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", "metadata")
+    records, corpus = assistant.upload(files_, base)
+    got = {r["path"].rpartition("/")[2]: r for r in records.collect()}
+    assert {k: r["chunks_adicionados"] for k, r in got.items()} == {"lei.txt": 2, "vazio.txt": 0, "foto.png": None}
+    assert got["foto.png"]["error"] == "Formato não suportado: png" and got["lei.txt"]["error"] is None
+    assert [c["tipo"] for c in got["lei.txt"]["chunks"]] == ["artigo", "artigo"] and got["lei.txt"]["fonte"] == "lei.txt"
+    added = corpus.where("doc_idx >= 10").orderBy("doc_idx").collect()
+    assert [(r["doc_idx"], r["id"], r["conteudo"]) for r in added] == [(10, "lei.txt/chunk_000001", "Art. 1 A posse."), (11, "lei.txt/chunk_000002", "Art. 2 O prazo.")]
+    # nothing to add: the corpus that was there stays; otherwise the new chunks take the place of earlier ones
+    _, same = assistant.upload(files_.where("path LIKE '%vazio.txt'"), base, corpus)
+    assert same.count() == 12
+    _, other = assistant.upload(files_.where("path LIKE '%foto.png'"), base)
+    assert other.count() == 10
+    docs = spark.createDataFrame([("z", "Art. 9 Outra coisa.", "z")], "doc_id string, text string, fonte string")
+    assert [r["conteudo"] for r in assistant.add_texts(docs, base, corpus).where("doc_idx >= 10").collect()] == ["Art. 9 Outra coisa."]
+
+
 def test_history(spark, tmp_path):
     records = spark.createDataFrame([(i, f"q{i}") for i in range(30)], "seq long, query_original string")
     assistant.append_history(records.where("seq < 20"), str(tmp_path / "h"))

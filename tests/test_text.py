@@ -143,6 +143,17 @@ def test_analysis(spark):
         assistant.require_text("  ")
 
 
+def test_light_analysis(spark):
+    rows = [(1, "Preâmbulo Art. 5 da Lei 8.629/93 através do STF."), (2, None), (2, "x")]
+    found = client.analyze(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "texto_original").collect()
+    one, empty, other = found
+    assert [c["tipo"] for c in one["chunks"]] == ["Texto", "Artigo 5"] and one["total_chunks"] == 2
+    assert one["total_entidades"] == len(one["entidades"]) and {e["tipo"] for e in one["referencias"]} == {"lei", "artigo"}
+    assert one["total_correcoes"] == len(one["correcoes"]) and one["fonte"] == "Texto Colado"
+    assert [tuple(c) for c in empty["chunks"]] == [("Texto", "")] and empty["total_entidades"] == empty["total_correcoes"] == 0
+    assert other["texto_corrigido"] == "x" and not other["referencias"]
+
+
 def test_many_matches_in_one_text(spark):
     """Places, duplicates, edits and pieces of a long text are found in one pass over blocks."""
     unit = "Art. 5 da Lei 8.629/93 e peticao ,, no STF. "
