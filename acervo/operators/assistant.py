@@ -66,7 +66,9 @@ def require_text(text: str) -> str:
 def hits(found_index: index.Index, corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k best documents of each query after fusion of twice as many and reranking; queries has query_id and query."""
     fused = search.search_hybrid(found_index, queries, 2 * k)
-    pairs = fused.join(corpus.select("doc_idx", "text", "fonte"), "doc_idx").join(queries.select("query_id", "query"), "query_id")
+    small = search.few(queries.select("query_id"))
+    pairs = search.met(corpus.select("doc_idx", "text", "fonte"), fused, "doc_idx", small)
+    pairs = search.met(pairs, queries.select("query_id", "query"), "query_id", small)
     return rerank.rerank(pairs.select("query_id", "query", "doc_idx", "text", "fonte", F.col("score_combinado").alias("score_original"), F.col("rank").alias("in_rank")), k)
 
 
