@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions.text import clipped, percent, session_id, title
-from acervo.operators import chunking, entities, grammar, index, rerank, search
+from acervo.operators import chunking, entities, grammar, index, rerank, scanning, search
 from acervo.sources import files as file_source
 from acervo.sources import knowledge
 
@@ -107,7 +107,7 @@ def analyze(docs: DataFrame, source: Column | None = None) -> DataFrame:
     fonte = F.coalesce(F.lit("") if source is None else source, F.lit(""))
     chunk = lambda c, i: F.struct(chunking.chunk_id(i).alias("chunk_id"), *[c[x].alias(x) for x in ("tipo", "conteudo", "hierarquia", "tamanho")])
     rows = docs.select("doc_id", text.alias("_t"), fonte.alias("fonte"), F.transform(chunking.chunk_array(text, fonte), chunk).alias("chunks"), entities.references(text).alias("referencias_cruzadas"))
-    rows = rows.select("doc_id", "_t", "fonte", F.size("chunks").cast("long").alias("num_chunks"), "chunks", "referencias_cruzadas", entities.entities(F.col("_t")).alias("entidades"), grammar.corrections(F.col("_t")).alias("correcoes"))
+    rows = rows.select("doc_id", "_t", "fonte", F.size("chunks").cast("long").alias("num_chunks"), "chunks", "referencias_cruzadas", scanning.entities(F.col("_t")).alias("entidades"), scanning.corrections(F.col("_t"), tuple(grammar.FAMILIES)).alias("correcoes"))
     rows = rows.select("*", grammar.edited(F.col("_t"), F.col("correcoes")).alias("texto_corrigido"))
     rows = rows.withColumn("resumo_entidades", counted(F.transform("entidades", lambda e: e["tipo"]))).withColumn("por_tipo", counted(F.transform("correcoes", lambda c: c["tipo"]))).withColumn("por_severidade", counted(F.transform("correcoes", lambda c: c["severidade"]))).drop("_t")
     return rows

@@ -1,6 +1,7 @@
 """Typed entities with exact offsets, themes, masking, cross references and counts.
 
 Every row's patterns are applied in one projection over one scan; nothing is shuffled until a summary asks for it.
+Whole columns of texts go through scanning, texts inside arrays through the expressions here; both give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from acervo.functions.folds import let, scan
 from acervo.functions.regexes import bounded, render
 from acervo.functions.spans import folded, matches, placed
 from acervo.functions.text import mask, title
+from acervo.operators import scanning
 
 ENTITY = "struct<ini:int,ord:int,pos:int,fim:int,tipo:string,valor:string,texto_original:string,confianca:double,area:string>"
 
@@ -120,7 +122,7 @@ def entities(text: Column, masked: bool = True, kinds: tuple[str, ...] | None =
 
 def extract(docs: DataFrame, masked: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each entity of docs (doc_id, text), with its number in the document."""
-    found = docs.select("doc_id", F.posexplode(entities(F.coalesce("text", F.lit("")), masked, kinds)).alias("n", "e"))
+    found = docs.select("doc_id", F.posexplode(scanning.entities(F.col("text"), masked, kinds)).alias("n", "e"))
     return found.select("doc_id", F.col("n").cast("long").alias("n"), "e.tipo", "e.valor", "e.texto_original", F.col("e.ini").cast("long").alias("ini"), F.col("e.fim").cast("long").alias("fim"), "e.confianca", "e.area")
 
 

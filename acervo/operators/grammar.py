@@ -12,6 +12,7 @@ from acervo.functions.folds import scan
 from acervo.functions.regexes import S, bounded, literal, render
 from acervo.functions.spans import folded, matches, placed
 from acervo.functions.text import strip
+from acervo.operators import scanning
 
 PUNCTUATION = ".,;:!?"
 SPACED = rf"{S}+([{PUNCTUATION}])"
@@ -129,13 +130,13 @@ def edited(text: Column, found: Column) -> Column:
 def correct(docs: DataFrame) -> DataFrame:
     """doc_id, texto_corrigido and correcoes of docs (doc_id, text); a null text is empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", "_text", corrections(F.col("_text")).alias("correcoes"))
+    rows = rows.select("doc_id", "_text", scanning.corrections(F.col("_text"), tuple(FAMILIES)).alias("correcoes"))
     return rows.select("doc_id", edited(F.col("_text"), F.col("correcoes")).alias("texto_corrigido"), "correcoes")
 
 
 def correction_rows(docs: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
     """A row for each correction, with its number in the document."""
-    found = docs.select("doc_id", F.posexplode(corrections(F.coalesce("text", F.lit("")), families)).alias("n", "c"))
+    found = docs.select("doc_id", F.posexplode(scanning.corrections(F.col("text"), families)).alias("n", "c"))
     names = ("tipo", "severidade", "texto_original", "sugestao", "explicacao", "regra")
     return found.select("doc_id", F.col("n").cast("long").alias("n"), *[f"c.{x}" for x in names], F.col("c.ini").cast("long").alias("ini"), F.col("c.fim").cast("long").alias("fim"))
 

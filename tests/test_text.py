@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acervo.functions import text as tx
 from acervo.functions.regexes import W, bounded, literal, render
 from acervo.functions.spans import find_all
-from acervo.operators import assistant, chunking, client, entities, grammar
+from acervo.operators import assistant, chunking, client, entities, grammar, scanning
 
 
 def table(spark, *texts):
@@ -171,3 +171,23 @@ def test_repeated_ids_are_chunked_apart(spark):
     got = chunking.structural_chunks(docs).collect()
     assert sorted((r.chunk_id, r.conteudo) for r in got) == [("chunk_000001", "Art. 1 a"), ("chunk_000001", "Art. 9 z"), ("chunk_000002", "Art. 2 b")]
     assert "Exchange" not in chunking.structural_chunks(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"))._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = ["", None, "İnciso IV ſúmula 3 LEİ 5 CF/88 ﬁm", "a . , ;; !!?? art 5 x ART. 007 Art 07 x", "12345678000190 CPF 123.456.789-01 𝟙𝟚𝟛.456.789-01 \U0001f600 Lei 1", "revel n° 3 nº 4 par. 3 al. a) inc. IV MIN. ﻿. \x1c, contrato de FGTS e posse a nível de onde² Kmesmo", "Lei\x85 12.3/99 Art 12 da Art. ١٢ x Art. ٣ y"]
+
+
+def test_scanned_columns_are_as_the_expressions(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    t = F.coalesce("text", F.lit(""))
+    pairs = [(entities.entities(t), scanning.entities(F.col("text"))), (grammar.corrections(t), scanning.corrections(F.col("text"), tuple(grammar.FAMILIES))), (client.entities(t), scanning.client_entities(F.col("text")))]
+    for by_expression, scanned in pairs:
+        shown = lambda c: [list(map(tuple, r.x)) for r in docs.select("doc_id", c.alias("x")).orderBy("doc_id").collect()]
+        expected = shown(by_expression)
+        assert shown(scanned) == expected and any(expected)
+
+
+def test_whole_columns_are_scanned_in_batches(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for found in (entities.extract(docs), grammar.correction_rows(docs), grammar.correct(docs), client.extract(docs), client.analyze(docs).select("doc_id", "total_entidades"), assistant.analyze(docs)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "ArrowEvalPython" in plan
