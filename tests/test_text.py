@@ -1,10 +1,12 @@
 """Text functions, spans, chunks, entities and corrections on cases worked out by hand."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from acervo.functions import lexicons as lx
 from acervo.functions import text as tx
 from acervo.functions.regexes import W, bounded, literal, render
 from acervo.functions.spans import find_all
@@ -191,3 +193,25 @@ def test_whole_columns_are_scanned_in_batches(spark):
     for found in (entities.extract(docs), grammar.correction_rows(docs), grammar.correct(docs), client.extract(docs), client.analyze(docs).select("doc_id", "total_entidades"), assistant.analyze(docs)):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "ArrowEvalPython" in plan
+
+
+def odd_texts(n):
+    """Strings of what patterns begin with, hold and end with, in all orders."""
+    parts = "art Art ART. § Lei lei n° nº 5 12 1234 ٣ 𝟙 3/4/2021 1/22/20245/6/77 . - / , ;; de janeiro março dias anos 12345678901 12.345.678/0001-90 0001234-56.2020.8.26.0001 CF/88 MP RE resp ADI STF STFx TRF1 TRT12 TJSP ICMBio alínea a) İ ſ K ΑΣ 😀 mesmo através".split()
+    draw = random.Random(5)
+    pick = lambda: draw.choice([*parts, " ", "  ", "\n", "﻿", "\0", "\x85"]) + draw.choice(["", " "])
+    return ["".join(pick() for _ in range(draw.choice([0, 1, 5, 60]))) for _ in range(n)]
+
+
+def test_joined_texts_are_searched_as_each_alone():
+    texts = [*odd_texts(3000), "3 de março de 20245 de maio de 2024", "art 1 alíneart 5", " ﻿ . ,"]
+    joined = scanning.Texts(texts)
+    searched = [(s, rf"(?<!\w)(?:{p})(?!\w)" if b else p, i) for (_, p, i, b), (_, _, _, s, _) in zip(lx.ENTITY_PATTERNS, scanning._entity_patterns(None), strict=True)]
+    searched += [(r[2], {400: r"\s+([.,;:!?])", 401: r"([.,;:!?])\1+"}[r[0]], False) for r in scanning._rules(("punctuation",))]
+    for search, pattern, ignore in searched:
+        plain = re.compile(pattern.lower() if ignore else pattern)
+        fold = lambda t: t.translate({0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}).lower()
+        expected = [(h, *m.span()) for h, t in enumerate(texts) for m in plain.finditer(fold(t) if ignore else t)]
+        found = search(joined)
+        holder = joined.holders([m.start() for m in found]).tolist()
+        assert [(h, m.start() - joined.starts[h], m.end() - joined.starts[h]) for h, m in zip(holder, found)] == expected, pattern
