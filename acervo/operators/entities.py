@@ -126,6 +126,11 @@ def extract(docs: DataFrame, masked: bool = True, kinds: tuple[str, ...] | None
     return found.select("doc_id", F.col("n").cast("long").alias("n"), "e.tipo", "e.valor", "e.texto_original", F.col("e.ini").cast("long").alias("ini"), F.col("e.fim").cast("long").alias("fim"), "e.confianca", "e.area")
 
 
+def types(docs: DataFrame) -> DataFrame:
+    """The types that entities of docs (text) have, without making the entities."""
+    return scanning.kinds(docs)
+
+
 def summary(found: DataFrame) -> DataFrame:
     """How many entities of each type a document has, most first, ties in order of appearance."""
     counted = found.groupBy("doc_id", "tipo").agg(F.count("*").alias("n"), F.min("n").alias("first"))
