@@ -19,6 +19,7 @@ SPACED = rf"{S}+([{PUNCTUATION}])"
 DOUBLED = rf"([{PUNCTUATION}])\1+"
 ARTICLE = rf"Art\.?{S}*(\p{{Nd}}+){S}"
 
+SEVERITIES = ("erro", "aviso", "info", "critico")
 
 NAMES = ("ord", "pos", "tipo", "severidade", "texto_original", "sugestao", "explicacao", "regra")
 MATCH = "array<struct<ord:int,pos:int,gap:int,width:int,stays:boolean,tipo:string,severidade:string,texto_original:string,sugestao:string,explicacao:string,regra:string>>"
@@ -141,6 +142,18 @@ def correction_rows(docs: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
     return found.select("doc_id", F.col("n").cast("long").alias("n"), *[f"c.{x}" for x in names], F.col("c.ini").cast("long").alias("ini"), F.col("c.fim").cast("long").alias("fim"))
 
 
+def correction_totals(docs: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
+    """correction_summary of correction_rows, without making the rows: they are counted in each text."""
+    found = docs.select("doc_id", F.explode(scanning.correction_totals(F.col("text"), families)).alias("c")).select("doc_id", "c.*")
+    return found.groupBy("doc_id", "tipo", "severidade").agg(F.sum("n").alias("n"))
+
+
+def severity_totals(docs: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
+    """severity_counts of correction_rows, without making the rows."""
+    found = docs.select("doc_id", F.explode(scanning.correction_totals(F.col("text"), families)).alias("c")).where("c.severidade IS NOT NULL")
+    return found.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("c.severidade") == s, F.col("c.n"))), F.lit(0)).cast("long").alias(s) for s in SEVERITIES])
+
+
 def correction_summary(rows: DataFrame) -> DataFrame:
     """Counts by type, by severity and in all, a row each."""
     cubed = rows.groupingSets([["doc_id", "tipo"], ["doc_id", "severidade"], ["doc_id"]], "doc_id", "tipo", "severidade")
@@ -149,4 +162,4 @@ def correction_summary(rows: DataFrame) -> DataFrame:
 
 def severity_counts(rows: DataFrame) -> DataFrame:
     """The counts of the four severities, zero where there is none."""
-    return rows.groupBy("doc_id").agg(*[F.count_if(F.col("severidade") == s).alias(s) for s in ("erro", "aviso", "info", "critico")])
+    return rows.groupBy("doc_id").agg(*[F.count_if(F.col("severidade") == s).alias(s) for s in SEVERITIES])

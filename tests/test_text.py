@@ -215,3 +215,14 @@ def test_joined_texts_are_searched_as_each_alone():
         found = search(joined)
         holder = joined.holders([m.start() for m in found]).tolist()
         assert [(h, m.start() - joined.starts[h], m.end() - joined.starts[h]) for h, m in zip(holder, found)] == expected, pattern
+
+
+def test_counted_corrections_and_types_are_those_of_the_rows(spark):
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate([*ODD, "art 5 ,, e peticao ;; através de. art 5"])], "doc_id long, text string")
+    rows = grammar.correction_rows(docs)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(grammar.correction_totals(docs)) == shown(grammar.correction_summary(rows)) and rows.count()
+    assert shown(grammar.severity_totals(docs)) == shown(grammar.severity_counts(rows))
+    assert shown(entities.types(docs)) == shown(entities.extract(docs).select("tipo").distinct())
+    plan = grammar.correction_totals(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explicacao" not in plan and "Expand" not in plan
