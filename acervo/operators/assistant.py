@@ -105,10 +105,14 @@ def analyze(docs: DataFrame, source: Column | None = None) -> DataFrame:
     """One record for each text of docs (doc_id, text): chunks, entities, corrections, references and summaries."""
     text = F.coalesce("text", F.lit(""))
     fonte = F.coalesce(F.lit("") if source is None else source, F.lit(""))
-    chunk = lambda c, i: F.struct(chunking.chunk_id(i).alias("chunk_id"), *[c[x].alias(x) for x in ("tipo", "conteudo", "hierarquia", "tamanho")])
-    rows = docs.select("doc_id", text.alias("_t"), fonte.alias("fonte"), F.transform(chunking.chunk_array(text, fonte), chunk).alias("chunks"), entities.references(text).alias("referencias_cruzadas"))
-    rows = rows.select("doc_id", "_t", "fonte", F.size("chunks").cast("long").alias("num_chunks"), "chunks", "referencias_cruzadas", scanning.entities(F.col("_t")).alias("entidades"), scanning.corrections(F.col("_t"), tuple(grammar.FAMILIES)).alias("correcoes"))
-    rows = rows.select("*", grammar.edited(F.col("_t"), F.col("correcoes")).alias("texto_corrigido"))
+    above = F.filter(F.array("fonte"), lambda x: x != "")
+    chunk = lambda c, i: F.struct(chunking.chunk_id(i).alias("chunk_id"), c["tipo"].alias("tipo"), c["conteudo"].alias("conteudo"), F.concat(above, c["hierarquia"]).alias("hierarquia"), c["tamanho"].alias("tamanho"))
+    t, families = F.col("_t"), tuple(grammar.FAMILIES)
+    rows = docs.select("doc_id", text.alias("_t"), fonte.alias("fonte"))
+    found = {"_chunks": scanning.chunks(t, chunking.MAX_CHARS, chunking.OVERLAP_WORDS), "_laws": scanning.references(t), "entidades": scanning.entities(t), "correcoes": scanning.corrections(t, families), "texto_corrigido": scanning.corrected(t, families)}
+    rows = rows.withColumns(found)
+    laws = F.when(F.size("_laws") > 0, F.map_from_entries("_laws"))
+    rows = rows.select("doc_id", "_t", "fonte", F.size("_chunks").cast("long").alias("num_chunks"), F.transform("_chunks", chunk).alias("chunks"), laws.alias("referencias_cruzadas"), "entidades", "correcoes", "texto_corrigido")
     rows = rows.withColumn("resumo_entidades", counted(F.transform("entidades", lambda e: e["tipo"]))).withColumn("por_tipo", counted(F.transform("correcoes", lambda c: c["tipo"]))).withColumn("por_severidade", counted(F.transform("correcoes", lambda c: c["severidade"]))).drop("_t")
     return rows
 

@@ -226,3 +226,23 @@ def test_counted_corrections_and_types_are_those_of_the_rows(spark):
     assert shown(entities.types(docs)) == shown(entities.extract(docs).select("tipo").distinct())
     plan = grammar.correction_totals(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "explicacao" not in plan and "Expand" not in plan
+
+
+def test_scanned_chunks_references_and_edits_are_as_the_expressions(spark):
+    long = "Art. 9º " + " ".join(f"palavra{i}{'.' if i % 13 == 0 else ''}" for i in range(300)) + ". " + "y" * 700 + "; fim."
+    texts = [*ODD, "Pre\nTÍTULO I - A\n Art. 1º x\n\nSubseção 4\nArtigo x\nCAPÍTULO II\n \nArt. 3º z", long, " \n\nTítulo V", "art. 1 da Lei 5, Art. 2 do Lei 5, ART 1 da lei 5; Art. 9 dE lei n° 7/90", "peticao ,,,, revel peticao"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t, families = F.coalesce("text", F.lit("")), tuple(grammar.FAMILIES)
+    laws = F.when(F.size(scanning.references(F.col("text"))) > 0, F.map_from_entries(scanning.references(F.col("text"))))
+    rows = docs.select("doc_id", t.alias("text"), scanning.corrections(F.col("text"), families).alias("c"))
+    edited = rows.select("doc_id", grammar.edited(F.col("text"), F.col("c")).alias("x"))
+    pairs = [
+        (docs.select("doc_id", chunking.chunk_array(t, F.lit("")).alias("x")), scanning.chunks(F.col("text"), chunking.MAX_CHARS, chunking.OVERLAP_WORDS)),
+        (docs.select("doc_id", entities.references(t).alias("x")), laws),
+        (edited, scanning.corrected(F.col("text"), families)),
+    ]
+    shown = lambda df: [repr(r.x) for r in df.orderBy("doc_id").collect()]
+    for by_expression, scanned in pairs:
+        assert shown(docs.select("doc_id", scanned.alias("x"))) == shown(by_expression)
+    above = assistant.analyze(docs.where("doc_id = 7"), F.lit("F")).select("chunks", "num_chunks").first()
+    assert above.chunks[1].hierarquia == ["F", "Titulo I"] and above.num_chunks == len(above.chunks)
