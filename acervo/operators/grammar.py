@@ -131,8 +131,8 @@ def edited(text: Column, found: Column) -> Column:
 def correct(docs: DataFrame) -> DataFrame:
     """doc_id, texto_corrigido and correcoes of docs (doc_id, text); a null text is empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", "_text", scanning.corrections(F.col("_text"), tuple(FAMILIES)).alias("correcoes"))
-    return rows.select("doc_id", edited(F.col("_text"), F.col("correcoes")).alias("texto_corrigido"), "correcoes")
+    text, families = F.col("_text"), tuple(FAMILIES)
+    return rows.select("doc_id", scanning.corrected(text, families).alias("texto_corrigido"), scanning.corrections(text, families).alias("correcoes"))
 
 
 def correction_rows(docs: DataFrame, families=tuple(FAMILIES)) -> DataFrame:
