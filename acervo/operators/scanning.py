@@ -32,10 +32,12 @@ _PLACES = [("ini", _INT), ("ord", _INT), ("pos", _INT), ("fim", _INT)]
 ENTITY = [*_PLACES, ("tipo", _TEXT), ("valor", _TEXT), ("texto_original", _TEXT), ("confianca", pa.float64()), ("area", _TEXT)]
 CORRECTION = [*_PLACES, *((x, _TEXT) for x in ("tipo", "severidade", "texto_original", "sugestao", "explicacao", "regra"))]
 CLIENT_ENTITY = [("ord", _INT), ("pos", _INT), *((x, _TEXT) for x in ("tipo", "valor", "texto_original")), ("confianca", pa.float64()), ("key", _TEXT)]
+_VALUES = pa.list_(pa.struct([("n", _INT), ("valor", _TEXT)]))
+CLIENT_GROUP = [("tipo", _TEXT), ("valores", _VALUES)]
 TOTAL = [("tipo", _TEXT), ("severidade", _TEXT), ("n", _LONG)]
 CHUNK = [("tipo", _TEXT), ("conteudo", _TEXT), ("hierarquia", pa.list_(_TEXT)), ("tamanho", _LONG), ("lin_ini", _LONG), ("lin_fim", _LONG)]
 REFERENCE = [("lei", _TEXT), ("artigos", pa.list_(_TEXT))]
-_DDL = {_INT: "int", _LONG: "bigint", _TEXT: "string", pa.float64(): "double", pa.list_(_TEXT): "array<string>"}
+_DDL = {_INT: "int", _LONG: "bigint", _TEXT: "string", pa.float64(): "double", pa.list_(_TEXT): "array<string>", _VALUES: "array<struct<n:int,valor:string>>"}
 
 
 # --- texts as one ----------------------------------------------------------------------------------------------
@@ -564,40 +566,66 @@ def _client_patterns() -> list[tuple[int, str, Search, int]]:
     return out
 
 
+def _shown(key: str) -> str:
+    digits = re.sub("[^0-9]", "", key)
+    return f"***.***. {digits[6:9]}-**" if len(digits) == 11 else key
+
+
+def _client_rows(t: Texts) -> Rows:
+    found, keys, values, wholes = Found(t), [], [], []
+    for number, kind, search, group in _client_patterns():
+        if matches := search(t):
+            key, whole = _strings(t.text, matches, group, *(places := _places(matches)))
+            found.add(number, *places)
+            keys += key
+            values += [_shown(k) for k in key] if kind == "cpf" else key
+            wholes += whole
+    names = [kind for kind, *_ in lx.CLIENT_PATTERNS] + ["tema_juridico"] * len(lx.CLIENT_THEMES)
+    for number, (theme, rows) in enumerate(zip(lx.CLIENT_THEMES, _first_terms(t, lx.CLIENT_THEMES)), len(lx.CLIENT_PATTERNS)):
+        if rows:
+            found.add_first(number, rows)
+            keys += [theme] * len(rows)
+            values += [theme] * len(rows)
+            wholes += [term for _, _, term in rows]
+    order, holder, _, _, number, pos = found.sorted(by_place=False)
+    ids: dict[tuple[str, str], int] = {}
+    kind = [names[n] for n in number.tolist()]
+    each = np.fromiter((ids.setdefault((n, keys[i]), len(ids)) for n, i in zip(kind, order.tolist())), np.int64, len(order))
+    first = np.sort(np.unique(holder * (len(ids) + 1) + each, return_index=True)[1])
+    order, holder, number, pos = (x[first] for x in (order, holder, number, pos))
+    sure = _dictionary([0.95] * len(lx.CLIENT_PATTERNS) + [0.85] * len(lx.CLIENT_THEMES), number, pa.float64())
+    columns = [pa.array(number, _INT), pa.array(pos, _INT), _dictionary(names, number), _dictionary(values, order), _dictionary(wholes, order), sure, _dictionary(keys, order)]
+    return np.bincount(holder, minlength=len(t.texts)), columns
+
+
 def client_entities(text: Column) -> Column:
     """As client.entities, for a column of texts."""
+    return column(text, CLIENT_ENTITY, _client_rows)
 
-    def shown(key: str) -> str:
-        digits = re.sub("[^0-9]", "", key)
-        return f"***.***. {digits[6:9]}-**" if len(digits) == 11 else key
 
-    def of(t: Texts) -> Rows:
-        found, keys, values, wholes = Found(t), [], [], []
-        for number, kind, search, group in _client_patterns():
-            if matches := search(t):
-                key, whole = _strings(t.text, matches, group, *(places := _places(matches)))
-                found.add(number, *places)
-                keys += key
-                values += [shown(k) for k in key] if kind == "cpf" else key
-                wholes += whole
-        names = [kind for kind, *_ in lx.CLIENT_PATTERNS] + ["tema_juridico"] * len(lx.CLIENT_THEMES)
-        for number, (theme, rows) in enumerate(zip(lx.CLIENT_THEMES, _first_terms(t, lx.CLIENT_THEMES)), len(lx.CLIENT_PATTERNS)):
-            if rows:
-                found.add_first(number, rows)
-                keys += [theme] * len(rows)
-                values += [theme] * len(rows)
-                wholes += [term for _, _, term in rows]
-        order, holder, _, _, number, pos = found.sorted(by_place=False)
-        ids: dict[tuple[str, str], int] = {}
-        kind = [names[n] for n in number.tolist()]
-        each = np.fromiter((ids.setdefault((n, keys[i]), len(ids)) for n, i in zip(kind, order.tolist())), np.int64, len(order))
-        first = np.sort(np.unique(holder * (len(ids) + 1) + each, return_index=True)[1])
-        order, holder, number, pos = (x[first] for x in (order, holder, number, pos))
-        sure = _dictionary([0.95] * len(lx.CLIENT_PATTERNS) + [0.85] * len(lx.CLIENT_THEMES), number, pa.float64())
-        columns = [pa.array(number, _INT), pa.array(pos, _INT), _dictionary(names, number), _dictionary(values, order), _dictionary(wholes, order), sure, _dictionary(keys, order)]
-        return np.bincount(holder, minlength=len(t.texts)), columns
+def client_groups(text: Column) -> Column:
+    """The entities of client_entities by type: structs of tipo and valores, which are structs of the entity's number and valor."""
 
-    return column(text, CLIENT_ENTITY, of)
+    def of(t: Texts) -> Rows:
+        counts, columns = _client_rows(t)
+        kinds, values, tipos, many, order, numbers = columns[2].to_pylist(), columns[3], [], [], [], []
+        groups, begin = [], 0
+        for count in counts.tolist():
+            one: dict[str, list[int]] = {}
+            for n, kind in enumerate(kinds[begin : begin + count]):
+                one.setdefault(kind, []).append(n)
+            groups.append(len(one))
+            for kind, its in one.items():
+                tipos.append(kind)
+                many.append(len(its))
+                numbers += its
+                order += [begin + n for n in its]
+            begin += count
+        rows = pa.StructArray.from_arrays([pa.array(numbers, _INT), values.take(pa.array(order, _LONG))], ["n", "valor"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(many, np.int64))]), _INT), rows)
+        return np.array(groups, np.int64), [pa.array(tipos, _TEXT), lists]
+
+    return column(text, CLIENT_GROUP, of)
 
 
 # --- chunks and references -------------------------------------------------------------------------------------

@@ -246,3 +246,11 @@ def test_scanned_chunks_references_and_edits_are_as_the_expressions(spark):
         assert shown(docs.select("doc_id", scanned.alias("x"))) == shown(by_expression)
     above = assistant.analyze(docs.where("doc_id = 7"), F.lit("F")).select("chunks", "num_chunks").first()
     assert above.chunks[1].hierarquia == ["F", "Titulo I"] and above.num_chunks == len(above.chunks)
+
+
+def test_values_grouped_in_their_texts_are_those_of_the_rows(spark):
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate([*ODD, "Lei 5, lei 7, Lei 5 e CPF 123.456.789-00", "lei 9 e Lei 5", "nada"])], "doc_id long, text string")
+    shown = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert shown(client.grouped_values(docs)) == shown(client.grouped(client.extract(docs))) != []
+    plan = client.grouped_values(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "texto_original" not in plan
