@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +119,14 @@ def analyze(docs: DataFrame, source: Column | None = None) -> DataFrame:
     return rows
 
 
+def tallies(docs: DataFrame, source: Column | None = None) -> DataFrame:
+    """How many chunks and entities the record of each text of docs has; nothing is listed."""
+    t, fonte = F.coalesce("text", F.lit("")), F.coalesce(F.lit("") if source is None else source, F.lit(""))
+    rows = docs.select("doc_id", t.alias("_t"), fonte.alias("fonte"))
+    rows = rows.withColumns({"num_chunks": scanning.chunk_counts(F.col("_t"), chunking.MAX_CHARS, chunking.OVERLAP_WORDS), "num_entidades": scanning.entity_counts(F.col("_t"))})
+    return rows.drop("_t")
+
+
 def counted(names: Column) -> Column:
     """How often each name comes, as a map in order of counts, most first, ties by first appearance."""
     distinct = F.array_distinct(names)
@@ -131,21 +141,21 @@ def add_texts(docs: DataFrame, base: DataFrame, current: DataFrame | None = None
     As with documents, earlier additions go. Where docs give no chunk, the current corpus (the base, if none is
     given) stays as it is.
     """
-    chunks = chunking.structural_chunks(docs, F.col("fonte"))
-    if chunks.isEmpty():
-        return base if current is None else current
+    chunks = chunking.scanned_chunks(docs, F.col("fonte"))
+    if current is not None and chunks.isEmpty():
+        return current
     return knowledge.add_documents(base, knowledge.chunks_as_documents(chunks))
 
 
-def upload(files: DataFrame, base: DataFrame, current: DataFrame | None = None, **readers) -> tuple[DataFrame, DataFrame]:
+def upload(files: DataFrame, base: DataFrame, current: DataFrame | None = None, record: Callable[[DataFrame, Column], DataFrame] = analyze, **readers) -> tuple[DataFrame, DataFrame]:
     """Files (path, content) as records of their analysis, and the corpus with their chunks.
 
-    A record has path, error and, where the text could be read, what `analyze` finds, with chunks_adicionados. A
-    file's source is its name. Files with an error add nothing.
+    A record has path, error and, where the text could be read, what `analyze` (or `tallies`) finds, with
+    chunks_adicionados. A file's source is its name. Files with an error add nothing.
     """
     texts = file_source.extract_text(files, **readers)
-    docs = texts.where("error IS NULL").select(F.col("path").alias("doc_id"), "text", F.element_at(F.split("path", "/"), -1).alias("fonte"))
-    records = analyze(docs, F.col("fonte")).withColumnRenamed("doc_id", "path").withColumn("chunks_adicionados", F.col("num_chunks"))
+    docs = texts.where("error IS NULL").select(F.col("path").alias("doc_id"), "text", F.substring_index("path", "/", -1).alias("fonte"))
+    records = record(docs, F.col("fonte")).withColumnRenamed("doc_id", "path").withColumn("chunks_adicionados", F.col("num_chunks"))
     failed = texts.where("error IS NOT NULL").select("path", "error")
     return records.unionByName(failed, allowMissingColumns=True), add_texts(docs, base, current)
 

@@ -9,6 +9,7 @@ from acervo.functions.folds import let, scan
 from acervo.functions.lexicons import STRUCTURE
 from acervo.functions.regexes import S, render
 from acervo.functions.text import context, strip
+from acervo.operators import scanning
 
 LEVELS = ("titulo", "capitulo", "secao", "artigo")
 MAX_CHARS, OVERLAP_WORDS = 512, 50
@@ -131,6 +132,16 @@ def structural_chunks(docs: DataFrame, source: Column | None = None, most: int =
     return rows.select("doc_id", chunk_id(F.col("_n")).alias("chunk_id"), "c.tipo", "c.conteudo", "c.hierarquia", "fonte", "c.tamanho", "c.lin_ini", "c.lin_fim")
 
 
+def scanned_chunks(docs: DataFrame, source: Column | None = None, most: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """As structural_chunks, by the scanner. Where only rows are counted, chunks are cut but not made."""
+    rows = _named(docs, source).select("doc_id", "fonte", scanning.chunks(F.col("_text"), most, overlap).alias("_c"), scanning.chunk_counts(F.col("_text"), most, overlap).alias("_many"))
+    numbers = F.when(F.col("_many") > 0, F.sequence(F.lit(0), F.col("_many").cast("int") - 1))
+    rows = rows.select("doc_id", "fonte", "_c", F.explode_outer(numbers).alias("_n")).where("_n IS NOT NULL")  # a filter on _many would be moved to where texts are made, and cut them twice
+    rows = rows.select("doc_id", "fonte", "_n", F.get("_c", F.col("_n")).alias("c"))
+    above = F.filter(F.array("fonte"), lambda x: x != "")
+    return rows.select("doc_id", chunk_id(F.col("_n")).alias("chunk_id"), "c.tipo", "c.conteudo", F.concat(above, "c.hierarquia").alias("hierarquia"), "fonte", "c.tamanho", "c.lin_ini", "c.lin_fim")
+
+
 def with_context(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("contexto_completo", context(F.col("hierarquia"), F.col("conteudo")))
 

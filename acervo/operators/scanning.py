@@ -15,7 +15,7 @@ import re
 import sys
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 from itertools import compress
 
 import numpy as np
@@ -64,14 +64,39 @@ class Texts:
     def __init__(self, texts: list[str]):
         self.texts, self.text = texts, "\0".join(texts)
         self.starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+
+    @cached_property
+    def codes(self) -> np.ndarray:
         codes = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        low, digit, space = _tables()
-        codes = np.concatenate([codes, np.zeros(16, np.uint32)])  # room to look ahead
-        at = codes.astype(np.intp)
-        self.codes, self.folded, self.digit, self.space = codes, low.take(at), digit.take(at), space.take(at)
-        self.low = self.folded[:-16].tobytes().decode("utf-32-le")
-        self.blank = self.space | (codes == 0xFEFF)  # ECMAScript has this one more
-        self.last_digits = np.flatnonzero(self.digit[:-16] & self.blank[1:-15])
+        return np.concatenate([codes, np.zeros(16, np.uint32)])  # room to look ahead
+
+    @cached_property
+    def _at(self) -> np.ndarray:
+        return self.codes.astype(np.intp)
+
+    @cached_property
+    def folded(self) -> np.ndarray:
+        return _tables()[0].take(self._at)
+
+    @cached_property
+    def digit(self) -> np.ndarray:
+        return _tables()[1].take(self._at)
+
+    @cached_property
+    def space(self) -> np.ndarray:
+        return _tables()[2].take(self._at)
+
+    @cached_property
+    def low(self) -> str:
+        return self.folded[:-16].tobytes().decode("utf-32-le")
+
+    @cached_property
+    def blank(self) -> np.ndarray:
+        return self.space | (self.codes == 0xFEFF)  # ECMAScript has this one more
+
+    @cached_property
+    def last_digits(self) -> np.ndarray:
+        return np.flatnonzero(self.digit[:-16] & self.blank[1:-15])
 
     def holders(self, at: np.ndarray) -> np.ndarray:
         """Which text each place is in."""
@@ -138,15 +163,9 @@ def column(text: Column, fields: list[tuple[str, pa.DataType]], of: Callable[[Te
     return _evaluated(text, ddl, lists, pa.list_(pa.struct(fields)))
 
 
-def _by_text(fields: list[tuple[str, pa.DataType]], of: Callable[[str], list[tuple]]) -> Callable[[Texts], Rows]:
-    """Rows of one text after the other."""
-
-    def rows(texts: Texts) -> Rows:
-        found = [of(t) for t in texts.texts]
-        columns = list(zip(*(r for one in found for r in one))) or [()] * len(fields)
-        return np.fromiter(map(len, found), np.int64, len(found)), [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)]
-
-    return rows
+def amount(text: Column, of: Callable[[Texts], np.ndarray]) -> Column:
+    """of(texts), a number for each text."""
+    return _evaluated(text, "bigint", lambda texts: pa.array(of(texts), _LONG), _LONG)
 
 
 # --- patterns --------------------------------------------------------------------------------------------------
@@ -226,6 +245,20 @@ def _spaced(t: Texts) -> np.ndarray:
     return first[np.searchsorted(first, sign, "right") - 1]
 
 
+def _names(pattern: str) -> Callable[[Texts], np.ndarray] | None:
+    """Where two capitals stand that one of (A|B) begins with; None for other patterns."""
+    names = re.match(r"\(((?:[A-Z]{2}[^|()]*\|)+[A-Z]{2}[^|()]*)\)$", pattern)
+    pairs = np.unique([ord(x[0]) << 8 | ord(x[1]) for x in names[1].split("|")]) if names else []
+
+    def starts(t: Texts) -> np.ndarray:
+        n = len(t.codes) - 16
+        capital = (t.codes >= 65) & (t.codes <= 90)
+        at = np.flatnonzero(capital[:n] & capital[1 : n + 1])
+        return at[np.isin(t.codes[at] << 8 | t.codes[at + 1], pairs)]
+
+    return starts if names else None
+
+
 #: By the beginning of a pattern, where it can match.
 _WHERE = {
     r"(\d{1,2})\s+de": _dates,
@@ -267,6 +300,8 @@ def _letters(beginning: str) -> Callable[[Texts], list[int]]:
 def _search(pattern: str, ignore_case: bool, borders: bool, render: Callable[[str], str] = str, word: str = r"\w", ascii_digits: bool = False) -> Search:
     from acervo.operators.entities import _beginning
 
+    if not ignore_case and borders and (names := _names(pattern)):
+        return Search([_bordered(render(pattern), word)], False, names)
     if parts := _alternatives(pattern):
         return Search([f"({_bordered(render(a), word)}){render(rest)}" if borders else f"({a}){render(rest)}" for a, rest in parts], ignore_case)
     where = next((w for p, w in _WHERE.items() if pattern.startswith(p)), None)
@@ -372,7 +407,7 @@ def entities(text: Column, masked: bool = True, kinds: tuple[str, ...] | None =
                 found.add(number, *places)
                 values += [_masked(v, kind) for v in value] if masked and kind in ("cpf", "cnpj") else value
                 wholes += whole
-        names, areas = [kind for kind, *_ in lx.ENTITY_PATTERNS] + ["tema_juridico"] * len(lx.THEMES), [None] * len(lx.ENTITY_PATTERNS) + list(lx.THEMES)
+        names, areas = _entity_names(), [None] * len(lx.ENTITY_PATTERNS) + list(lx.THEMES)
         if not kinds or "tema_juridico" in kinds:
             for number, rows in enumerate(_first_terms(t, lx.THEMES), len(lx.ENTITY_PATTERNS)):
                 if rows:
@@ -391,6 +426,29 @@ def entities(text: Column, masked: bool = True, kinds: tuple[str, ...] | None =
     return column(text, ENTITY, of)
 
 
+def entity_counts(text: Column) -> Column:
+    """How many entities each text has: all are found, and what `entities` takes as one counts once."""
+
+    def of(t: Texts) -> np.ndarray:
+        found = Found(t)
+        for number, _, start, search, _ in _entity_patterns(None):
+            if start in t.low and (matches := search(t)):
+                found.add(number, *_places(matches))
+        for number, rows in enumerate(_first_terms(t, lx.THEMES), len(lx.ENTITY_PATTERNS)):
+            if rows:
+                found.add_first(number, rows)
+        _, holder, ini, fim, number, _ = found.sorted()
+        return np.bincount(holder[_first_of_each(holder, ini, fim, number, _entity_names())], minlength=len(t.texts))
+
+    return amount(text, of)
+
+
+@cache
+def _entity_names() -> list[str]:
+    """The type of each search, themes last."""
+    return [kind for kind, *_ in lx.ENTITY_PATTERNS] + ["tema_juridico"] * len(lx.THEMES)
+
+
 def _first_of_each(holder: np.ndarray, ini: np.ndarray, fim: np.ndarray, number: np.ndarray, names: list[str]) -> np.ndarray:
     """Which rows are the first of their text, start, end and type."""
     stays = np.ones(len(holder), bool)
@@ -630,27 +688,36 @@ def client_groups(text: Column) -> Column:
 
 # --- chunks and references -------------------------------------------------------------------------------------
 _LEVELS = ("titulo", "capitulo", "secao", "artigo")
-_OPENS = [re.compile(lx.STRUCTURE[x]) for x in _LEVELS]
 _SENTENCE = re.compile(r"(?<=[.;:])\s+")
 
 
-def _segments(text: str) -> Iterator[tuple[str, str, list[str], int]]:
-    """tipo, conteudo, hierarquia and line of each segment that is not blank."""
-    lines = text.split("\n")
-    marks = [(0, None, None)]
-    for i, line in enumerate(lines):
-        line = line.strip()
-        if line[:1] in ("T", "C", "S", "A"):
-            for level, opens in enumerate(_OPENS):
-                if m := opens.match(line):
-                    marks.append((i, level, f"{_LEVELS[level].title()} {m[1] or 'único'}"))
-                    break
-    path: list[str | None] = [None] * len(_LEVELS)
-    for k, (i, level, label) in enumerate(marks):
-        if level is not None:
-            path = [*path[:level], label, *[None] * (len(_LEVELS) - 1 - level)]
-        if body := "\n".join(lines[i : marks[k + 1][0] if k + 1 < len(marks) else len(lines)]).strip():
-            yield "texto_livre" if level is None else _LEVELS[level], body, [x for x in path if x is not None], i
+@cache
+def _opens() -> tuple[re.Pattern, re.Pattern]:
+    """What begins a boundary line, its group the level's number; and the blanks before it."""
+    return re.compile("|".join(lx.STRUCTURE[x].replace(r"\s", r"[^\S\n]") for x in _LEVELS)), re.compile(r"[^\S\n]*")
+
+
+class Segments:
+    """The segments of joined texts, blank ones too: text, start and end in the joined texts, level (-1 for running text), number, line."""
+
+    def __init__(self, t: Texts):
+        opens, blanks = _opens()
+        begin, feeds = t.starts[:-1], np.flatnonzero(t.codes[:-16] == 10)
+        lines = np.sort(np.concatenate([begin, feeds + 1]), kind="stable")
+        first = lines.copy()
+        sign = t.codes[lines]
+        for i in np.flatnonzero(_tables()[2][sign] & (sign != 10)).tolist():
+            first[i] = blanks.match(t.text, first[i]).end()
+        some = np.flatnonzero(np.isin(t.codes[first], [ord(c) for c in "TCSA"]))
+        found = [(i, m.lastindex - 1, m[m.lastindex]) for i, at in zip(lines[some].tolist(), first[some].tolist()) if (m := opens.match(t.text, at))]
+        at, level, number = zip(*found) if found else ((), (), ())
+        start = np.concatenate([begin, np.array(at, np.int64)])
+        order = np.argsort(start, kind="stable")  # running text comes before a boundary in its first line
+        self.start, self.level = start[order], np.concatenate([np.full(len(begin), -1), np.array(level, np.int64)])[order]
+        self.number = np.array([None] * len(begin) + list(number), object)[order]
+        self.holder = t.holders(self.start)
+        self.end = np.append(np.maximum(self.start[:-1], self.start[1:] - 1), t.starts[-1] - 1)
+        self.line = np.searchsorted(feeds, self.start) - np.searchsorted(feeds, begin)[self.holder]
 
 
 def _packed(text: str, most: int, overlap: int) -> list[str]:
@@ -673,16 +740,44 @@ def _packed(text: str, most: int, overlap: int) -> list[str]:
 def chunks(text: Column, most: int, overlap: int) -> Column:
     """As chunking.chunk_array without a source, for a column of texts."""
 
-    def of(text: str) -> list[tuple]:
-        rows = []
-        for kind, body, path, line in _segments(text):
-            if len(body) <= most:
-                rows.append((kind, body, path, len(body), line, line + body.count("\n")))
-            else:
-                rows += [(kind, p.strip(), path, len(p), line, line) for p in _packed(body, most, overlap)]
-        return rows
-
-    return column(text, CHUNK, _by_text(CHUNK, of))
+    def of(t: Texts) -> Rows:
+        found = Segments(t)
+        paths: dict[tuple, int] = {}
+        of_segment, bodies, path_numbers, sizes, breaks = [], [], [], [], []
+        path = none = (None,) * len(_LEVELS)
+        for i, (a, b, level, number) in enumerate(zip(*(x.tolist() for x in (found.start, found.end, found.level, found.number)))):
+            path = none if level < 0 else (*path[:level], f"{_LEVELS[level].title()} {number or 'único'}", *none[level + 1 :])
+            if body := t.text[a:b].strip():
+                whole = len(body) <= most
+                for piece in [body] if whole else _packed(body, most, overlap):
+                    of_segment.append(i)
+                    bodies.append(piece.strip())
+                    path_numbers.append(paths.setdefault(path, len(paths)))
+                    sizes.append(len(piece))
+                    breaks.append(body.count("\n") if whole else 0)
+        held = np.array(of_segment, np.int64)
+        line = found.line[held]
+        kinds = _dictionary(["texto_livre", *_LEVELS], found.level[held] + 1)
+        hierarchy = _dictionary([[x for x in p if x is not None] for p in paths], np.array(path_numbers, np.int64), pa.list_(_TEXT))
+        columns = [kinds, pa.array(bodies, _TEXT), hierarchy, pa.array(sizes, _LONG), pa.array(line, _LONG), pa.array(line + np.array(breaks, np.int64), _LONG)]
+        return np.bincount(found.holder[held], minlength=len(t.texts)), columns
+
+    return column(text, CHUNK, of)
+
+
+def chunk_counts(text: Column, most: int, overlap: int) -> Column:
+    """How many chunks each text has: all are cut, as in `chunks`."""
+
+    def of(t: Texts) -> np.ndarray:
+        found = Segments(t)
+        many = np.ones(len(found.start), np.int64)
+        some = np.flatnonzero((found.level < 0) | (found.end - found.start > most))  # those that may be blank or long
+        for i, a, b in zip(some.tolist(), found.start[some].tolist(), found.end[some].tolist()):
+            body = t.text[a:b].strip()
+            many[i] = len(_packed(body, most, overlap)) if len(body) > most else bool(body)
+        return np.bincount(found.holder, many, len(t.texts)).astype(np.int64)
+
+    return amount(text, of)
 
 
 @cache

@@ -19,9 +19,9 @@ MIN_PDF_CHARS = 50
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def extension(name: Column) -> Column:
-    """What follows the last dot, in lower case; empty without a dot."""
-    return F.when(F.contains(name, F.lit(".")), F.element_at(F.split(F.lower(name), r"\.", -1), -1)).otherwise("")
+def extension(path: Column) -> Column:
+    """What follows the last dot of the path's last part, in lower case; empty without a dot."""
+    return F.coalesce(F.regexp_extract(F.lower(path), r"\.([^./]*)\z", 1), F.lit(""))  # a path that is made is made once
 
 
 def utf8_text(content: Column) -> Column:
@@ -91,7 +91,7 @@ def extract_text(files: DataFrame, pages: PageReader | None = None, scanned: Pag
 
     txt and md are decoded in the engine; only pdf and docx go through Python. Other extensions have an error.
     """
-    files = files.select("path", "content", extension(F.element_at(F.split("path", "/"), -1)).alias("kind"))
+    files = files.select("path", "content", extension(F.col("path")).alias("kind"))
     none = F.lit(None).cast("string")
     plain = files.where(F.col("kind").isin("txt", "md")).select("path", utf8_text(F.col("content")).alias("text"), none.alias("error"))
     binary = files.where(F.col("kind").isin("pdf", "docx")).mapInArrow(_binary(pages, scanned), "path string, text string, error string")

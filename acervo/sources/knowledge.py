@@ -98,18 +98,19 @@ def numbered(docs: DataFrame, order_by: str, start: int) -> DataFrame:
     """docs with doc_idx from start on, in order; ties go by the text.
 
     The order is cut at keys, and each row's range follows from its key alone, not from where it stands: counts and
-    rows may be computed apart. The cuts are some keys with the least hashes, a few for each shuffle partition.
+    rows may be computed apart. The cuts are some keys with the least hashes, a few for each shuffle partition. Cuts
+    and counts are subqueries, so that a query that does not ask for doc_idx does not pay for it.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = docs.select(F.col(order_by).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k")).limit(16 * parts).collect()
-    cuts = sorted(r[0] for r in some)[16::16]
-    ranged = docs.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(order_by))), F.lit(0)) if cuts else F.lit(0))
+    some = docs.select(F.col(order_by).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k")).limit(16 * parts)
+    cuts = some.agg(F.filter(F.array_sort(F.collect_list("k")), lambda _, i: (i > 0) & (i % 16 == 0))).scalar()
+    ranged = docs.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(order_by)))).drop("_cuts")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("_range").alias("_r"), (before + start).alias("_offset"))  # as many rows as cuts
+    offsets = sizes.select(F.struct("_range", (before + start).alias("_offset")).alias("_o"))  # as many rows as cuts
+    offset = F.element_at(offsets.agg(F.map_from_entries(F.collect_list("_o"))).scalar(), F.col("_range"))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(order_by, "conteudo")) - 1
-    rows = ranged.withColumn("_at", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
-    return rows.select((F.col("_at") + F.col("_offset")).cast("long").alias("doc_idx"), "id", "conteudo", "metadata")
+    return ranged.select((inside + offset).cast("long").alias("doc_idx"), "id", "conteudo", "metadata")
 
 
 def chunks_as_documents(chunks: DataFrame) -> DataFrame:

@@ -129,6 +129,20 @@ def test_upload(spark, tmp_path):
     assert [r["conteudo"] for r in assistant.add_texts(docs, base, corpus).where("doc_idx >= 10").collect()] == ["Art. 9 Outra coisa."]
 
 
+def test_corpus_after_upload_is_counted_without_its_numbers(spark):
+    sent = spark.createDataFrame([(f"in/{i}.{x}", f"Art. {i} A posse.\nArt. 2 O prazo.".encode()) for i in range(40) for x in ("txt", "MD", "png")], "path string, content binary")
+    base = knowledge.base_documents(spark).select("doc_idx", "id", "conteudo", "metadata")
+    records, corpus = assistant.upload(sent, base, record=assistant.tallies)
+    got = records.collect()
+    assert sorted((r.path.rpartition(".")[2], r.chunks_adicionados, r.num_entidades) for r in got) == sorted([("MD", 2, 3)] * 40 + [("png", None, None)] * 40 + [("txt", 2, 3)] * 40)
+    held = corpus.groupBy(F.col("metadata")["fonte"].alias("fonte")).count()
+    assert sum(r["count"] for r in held.collect() if r.fonte.endswith(("txt", "MD"))) == 160
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "explode" in plan and "conteudo:" not in plan
+    rows = corpus.orderBy("doc_idx").select("doc_idx", "id").collect()
+    assert [r.doc_idx for r in rows] == list(range(170)) and [r.id for r in rows[10:]] == sorted(r.id for r in rows[10:])
+
+
 def test_history(spark, tmp_path):
     records = spark.createDataFrame([(i, f"q{i}") for i in range(30)], "seq long, query_original string")
     assistant.append_history(records.where("seq < 20"), str(tmp_path / "h"))

@@ -254,3 +254,13 @@ def test_values_grouped_in_their_texts_are_those_of_the_rows(spark):
     assert shown(client.grouped_values(docs)) == shown(client.grouped(client.extract(docs))) != []
     plan = client.grouped_values(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "texto_original" not in plan
+
+
+def test_counted_chunks_and_entities_are_those_that_are_listed(spark):
+    texts = [*ODD, *odd_texts(200), "Art. 1 a\n\0Art. 2\n TÍTULO I\n", "\n \nTítulo\nV", "x" * 512 + ". " + "y" * 512 + "\nArt. 5 " + "z; " * 400, " " * 600]
+    docs = spark.createDataFrame([(i, t, f"f{i % 3}" * (i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, fonte string")
+    got = {r.doc_id: (r.num_chunks, r.num_entidades) for r in assistant.tallies(docs).collect()}
+    listed = assistant.analyze(docs).select("doc_id", F.size("chunks").alias("c"), F.size("entidades").alias("e")).collect()
+    assert got == {r.doc_id: (r.c, r.e) for r in listed} and max(got.values()) > (3, 0)
+    shown = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert shown(chunking.scanned_chunks(docs, F.col("fonte"))) == shown(chunking.structural_chunks(docs, F.col("fonte"))) != []
